@@ -4,8 +4,9 @@ Two texts link when the Jaccard similarity of their shingle sets reaches a thres
 
 1. Each text's set is hashed (equal sets share a key) and its prefix, the shingles of which any partner must share
    one, is counted. Frequent shingles are marked in a bitmap of fixed size.
-2. Prefixes are taken again with marked shingles last; within each shingle's list, size and position bounds leave
-   the sets that may have a partner, chained by one link each. The chains' components enclose all true links.
+2. Prefixes are taken again with marked shingles last. For each pair in a short list its common prefix shingles are
+   counted; fewer than the bound below rule it out. The sets of a long list (mostly near copies of one another, as
+   marked shingles come last) are chained in order of size. The components of what is left enclose all true links.
 3. The sets of each enclosure meet in one task (a large enclosure is cut into blocks, each pair of blocks a task).
    There an inverted index is searched for every set by DivideSkip: short lists are merged, long ones are probed by
    binary search, and sets that reach the needed overlap are joined.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.grouped import Forest, over_groups
+from millrace.llm.grouped import over_groups
 from millrace.llm.scratch import save, small_batches
 from millrace.llm.wordhash import shingle_sets, text_slices
 
@@ -36,8 +37,10 @@ BITMAP_BITS = 1 << 24
 FREQUENT = 16
 #: Shingles of the sets that meet in one task.
 BLOCK_ELEMENTS = 1_000_000
-#: Lists of up to so many sets are compared pair by pair for size and position; longer ones are chained by size alone.
-PAIRED = 256
+#: Lists of up to so many sets are counted pair by pair; the sets of longer ones are chained.
+PAIRED = 24
+#: Rows of lists that are handled at once.
+LIST_ROWS = 200_000
 
 
 def need(a, b, num: int, den: int):
@@ -116,40 +119,78 @@ def _postings(k: int, num: int, den: int, bits):
                     p = prefix_length(len(s), num, den)
                     late = _marked(bitmap, s)
                     order = np.concatenate((np.flatnonzero(late == 0)[:p], np.flatnonzero(late)[:p]))[:p]
-                    for c, v in zip(cols, (s[order].view(np.int64), np.full(p, set_key(s), np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32))):
+                    rank = int(s[order[-1]] >> np.uint64(2)) | int(late[order[-1]]) << 62  # of the last in the common order
+                    for c, v in zip(cols, (s[order].view(np.int64), np.full(p, set_key(s), np.int64), np.full(p, len(s), np.int32), np.full(p, rank, np.int64))):
                         c.append(v)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "set_key", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "set_key", "n", "last"])
 
     return run
 
 
-def _chains(num: int, den: int):
-    """Within each shingle's list, links that hold together all sets that may be partners by size and position."""
+def _candidates(num: int, den: int):
+    """From lists in order of (h, n, set_key): rows (a, b, need) for sets that may be partners.
 
-    def fn(t: pa.Table) -> pa.Table | None:
-        if t.num_rows < 2:
-            return None
-        key, first = np.unique(t.column("set_key").to_numpy(), return_index=True)
-        if len(key) < 2:
-            return None
-        n, pos = (t.column(c).to_numpy()[first].astype(np.int64) for c in ("n", "pos"))
-        if len(key) > PAIRED:
-            order = np.argsort(n, kind="stable")
-            key, n = key[order], n[order]
-            near = n[:-1] * den >= n[1:] * num
-            return pa.table({"a": key[:-1][near], "b": key[1:][near]}) if near.any() else None
-        # if this shingle is the first that both share, no more than the shingles from here on are common
-        may = np.minimum.outer(n - pos, n - pos) >= need(np.add.outer(n, n), 0, num, den)
-        may &= np.multiply.outer(n * den, np.ones_like(n)) >= n * num
-        a, b = np.nonzero(np.triu(may & may.T, 1))
-        if not len(a):
-            return None
-        forest = Forest(len(key))
-        used = [(x, y) for x, y in zip(a.tolist(), b.tolist()) if forest.join(x, y)]
-        return pa.table({"a": key[[x for x, _ in used]], "b": key[[y for _, y in used]]})
+    Of two prefixes, let x's be the one that ends first. What x and y share is either in both prefixes or among the
+    other shingles of x; so a linked pair has at least ``need`` = T - (size of x - prefix of x) common prefix shingles,
+    and a row is given for each of them. Chained sets get rows with a need of 0. A pair with a common long list is
+    held together by its chain, all other pairs' common shingles are all in short lists, so no link is lost.
+    """
 
-    return fn
+    def lists(h, key, n, last, long_h):
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.concatenate((starts, [len(h)])))
+        long = (size > PAIRED) | (h[starts] == long_h[0] if long_h else False)
+        n = n.astype(np.int64)
+        out = []
+        if long.any():
+            x = np.flatnonzero(np.repeat(long, size)[:-1] & (h[1:] == h[:-1]))
+            x = x[n[x] * den >= n[x + 1] * num]
+            out.append((key[x], key[x + 1], np.zeros(len(x), np.int64)))
+        for s in range(2, PAIRED + 1):
+            at = starts[(size == s) & ~long]
+            if len(at):
+                i, j = np.triu_indices(s, 1)
+                x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                near = n[x] * den >= n[y] * num
+                x, y = x[near], y[near]
+                first = n[np.where(last[x] <= last[y], x, y)]
+                rest = first - (first - -((-num * first) // den) + 1)
+                out.append((key[x], key[y], np.maximum(1, need(n[x], n[y], num, den) - rest)))
+        if out:
+            a, b, c = (np.concatenate(v) for v in zip(*out))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c)], ["a", "b", "need"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        long_h: list[int] = []  # the shingle whose list goes on and is known to be long
+
+        def flush(final: bool):
+            nonlocal held, long_h
+            h, key, n, last = (np.concatenate(c) for c in zip(*held))
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])))  # equal sets count once
+            h, key, n, last = h[new], key[new], n[new], last[new]
+            cut = len(h) if final else int(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[-1])
+            if len(h) - cut > PAIRED or not final and long_h == [int(h[-1])]:  # of a long list only the last row is needed
+                yield from lists(h, key, n, last, [int(h[-1])])
+                long_h, cut = [int(h[-1])], len(h) - 1
+            elif cut:
+                yield from lists(h[:cut], key[:cut], n[:cut], last[:cut], long_h)
+                long_h = []
+            held = [(h[cut:], key[cut:], n[cut:], last[cut:])]
+
+        size = 0
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("h", "set_key", "n", "last")))
+            size += batch.num_rows
+            if size >= LIST_ROWS:
+                yield from flush(False)
+                size = 0
+        if held:
+            yield from flush(True)
+
+    return run
 
 
 def divide_skip(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -245,8 +286,10 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 8, den: in
 
     counted = profile.select(F.explode("head").alias("h")).groupBy("h").count().where(F.col("count") > FREQUENT)
     frequent = spark.sparkContext.broadcast(_bitmap(counted.select((F.col("h").bitwiseAND(BITMAP_BITS - 1)).cast("int").alias("position"))))
-    postings = texts.mapInArrow(_postings(words, num, den, frequent), "h long, set_key long, n int, pos int")
-    enclosed = components(over_groups(postings, ["h"], _chains(num, den), "a long, b long"))
+    postings = texts.mapInArrow(_postings(words, num, den, frequent), "h long, set_key long, n int, last long")
+    listed = postings.repartition("h").sortWithinPartitions("h", "n", "set_key")
+    pairs = listed.mapInArrow(_candidates(num, den), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"))
+    enclosed = components(pairs.where(F.col("common") >= F.col("need")))
 
     of_key = profile.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     held = save(of_key.join(enclosed.withColumnRenamed("node", "set_key"), "set_key").where(F.col("rep").isNotNull()), "enclosed")

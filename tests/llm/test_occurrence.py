@@ -77,6 +77,7 @@ def test_large_group_in_blocks(spark, monkeypatch):
         rows.append((i, " ".join(t)))
     monkeypatch.setattr(occ, "BLOCK_ELEMENTS", 900)
     monkeypatch.setattr(occ, "PAIRED", 10)
+    monkeypatch.setattr(occ, "LIST_ROWS", 50)
     assert run(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
 
 
