@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import save, small_batches
+from millrace.llm.scratch import least_hashed, save, small_batches
 from millrace.llm.wordhash import hash_words, text_slices
 
 SYMBOL_BITS = 15
@@ -332,7 +332,7 @@ def score_texts(docs: DataFrame, *, states: int = 8, rounds: int = 2, seed_texts
     coded = save(numbered.mapInArrow(_encode(shared), "row long, doc_id long, held_out boolean, n_tokens long, common_known long, common_log double, syms binary, rare array<long>"), "coded")
     train = coded.where(~F.col("held_out"))
 
-    first = train.select("syms", F.xxhash64("doc_id").alias("o"), "row").orderBy("o", "row").limit(seed_texts).select("syms").collect()
+    first = least_hashed(train.select("syms", F.xxhash64("doc_id", "row").alias("o")), "o", seed_texts, train.count()).select("syms").collect()
     model = initial(prior, states, seed)
     sample = [np.frombuffer(r["syms"], np.uint16)[: 16 * PIECE] for r in first]
     for _ in range(seed_rounds if sample else 0):

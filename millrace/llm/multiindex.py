@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.grouped import over_groups
-from millrace.llm.scratch import save, small_batches
+from millrace.llm.scratch import least_hashed, save, small_batches
 
 #: Distinct vectors from which codebooks and the number of visited cells are found.
 SAMPLE = 20_000
@@ -144,7 +144,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.93, recall: float = 0.
     nodes = save(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("label_key").alias("label_key"), F.first("vec").alias("vec"), F.count("*").alias("weight")), "nodes")
     size = nodes.agg(F.count("*").alias("n"), F.approx_count_distinct("label_key").alias("labels")).first()
     if size["n"]:
-        sample = nodes.select("vec", F.xxhash64("node").alias("o")).orderBy("o").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
+        sample = least_hashed(nodes.select("vec", F.xxhash64("node").alias("o")), "o", SAMPLE, size["n"]).select("vec").toArrow().column("vec").combine_chunks()
         words = min(MOST_WORDS, max(4, round(math.sqrt(size["n"] / max(1, size["labels"]) / CELL))))
         shared = spark.sparkContext.broadcast(fit(_unit(sample, width), words, cosine, recall))
         coded = save(nodes.mapInArrow(_code(width, shared), "label_key long, node long, weight long, vec array<double>, own int, visits array<int>"), "coded")

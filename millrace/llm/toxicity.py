@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import small_batches
+from millrace.llm.scratch import least_hashed, save, small_batches
 from millrace.llm.wordhash import LETTERS, hash_words
 
 #: The most labelled texts that are fitted, with and without the last category.
@@ -148,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column
     known = labels.select(F.col(id_col).alias("id"), *(c.cast("int").alias(y) for y, (_, c) in zip(ys, categories))).dropna()
     known = known.groupBy("id").agg(*(F.min(y).alias(y) for y in ys), F.max(F.struct(*ys)).alias("top"), F.min(F.struct(*ys)).alias("low")).where(F.col("top") == F.col("low"))
     known = known.select("id", *ys, F.xxhash64("id").alias("o"))
-    pick = lambda v, n: known.where(F.col(ys[-1]) == v).orderBy("o", "id").limit(n)
+    known = save(known, "labels")
+    total = {r[0]: r[1] for r in known.groupBy(ys[-1]).count().collect()}
+    pick = lambda v, n: least_hashed(known.where(F.col(ys[-1]) == v), "o", n, total.get(v, 0))
     sample = pick(1, POSITIVE).unionByName(pick(0, NEGATIVE))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most POSITIVE + NEGATIVE short rows: a proven bound for the broadcast
