@@ -100,8 +100,12 @@ def fit_chain(names: list[str], rows: list[np.ndarray], y: np.ndarray, fold: np.
     if not len(rows):
         return Chain(names, np.empty(0, np.uint64), [np.array([*np.zeros(c), 0.0]) for c in range(len(names))])
     every, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     df = np.bincount(inverse, minlength=len(every))
+    often = df >= LEAST_TEXTS  # most words are in a few texts; they aren't looked at again
+    keep = often[inverse]
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[keep]
+    inverse = (np.cumsum(often) - 1).astype(np.int32)[inverse[keep]]
+    every, df = every[often], df[often]
     chosen = np.zeros(len(every), bool)
     for c in range(y.shape[1]):
         n1, n = y[:, c].sum(), len(y)
@@ -109,7 +113,6 @@ def fit_chain(names: list[str], rows: list[np.ndarray], y: np.ndarray, fold: np.
         a, b = (p + 0.5) / (n1 + 1), (df - p + 0.5) / (n - n1 + 1)
         # the lower bound of each word's absolute log odds ratio
         low = np.abs(np.log(a / b)) - 2 * np.sqrt(1 / (p + 0.5) + 1 / (df - p + 0.5))
-        low[df < LEAST_TEXTS] = -1
         best = np.argsort(-low, kind="stable")[:WORDS]
         chosen[best[low[best] > LEAST_ODDS]] = True
     chain = Chain(names, every[chosen], [])
@@ -137,7 +140,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = _words(batch.column("text").to_pylist())
         keep = [batch.column(i) for i in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64()))], [*batch.schema.names[:-1], "words"])
+        yield pa.RecordBatch.from_arrays([*keep, pa.array([w.tobytes() for w in words], pa.binary())], [*batch.schema.names[:-1], "words"])
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]], *, id_col: str = "doc_id", text_col: str = "text") -> Chain:
@@ -154,11 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column
     sample = pick(1, POSITIVE).unionByName(pick(0, NEGATIVE))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most POSITIVE + NEGATIVE short rows: a proven bound for the broadcast
-    found = texts.join(F.broadcast(sample), "id").select("id", *ys, "o", "text").mapInArrow(_features, "id long, " + "".join(f"{y} int, " for y in ys) + "o long, words array<long>")
-    got = sorted(found.collect(), key=lambda r: (r["o"], r["id"], r["words"]))
-    rows = [np.array(r["words"], np.int64).view(np.uint64) for r in got]
-    y = np.array([[r[c] for c in ys] for r in got], int).reshape(len(got), len(ys))
-    return fit_chain(names, rows, y, np.array([r["o"] % FOLDS for r in got], int))
+    found = texts.join(F.broadcast(sample), "id").select("id", *ys, "o", "text").mapInArrow(_features, "id long, " + "".join(f"{y} int, " for y in ys) + "o long, words binary")
+    got = found.toArrow().sort_by([("o", "ascending"), ("id", "ascending"), ("words", "ascending")])
+    rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("words")]
+    y = np.column_stack([got.column(c).to_numpy() for c in ys]).astype(int)
+    return fit_chain(names, rows, y, got.column("o").to_numpy() % FOLDS)
 
 
 def score(docs: DataFrame, chain: Chain, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
