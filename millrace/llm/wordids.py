@@ -13,6 +13,8 @@ import numpy as np
 
 CACHE_CHUNKS = 250_000
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+#: A single stop or comma between a letter and white space is a chunk of its own.
+_STOP = re.compile("(?<=[A-Za-z])([.,])(?=[ \t\n\r\x0b\x0c]|$)")
 
 
 class ChunkTokenizer:
@@ -26,6 +28,28 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        #: Whether capitals, stops and commas may be taken apart beforehand: only if that changes no ids here.
+        probe = ["AbC", "abc", "ABC", "word.", "word,", "Word. Next, one"]
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.lowers = all(ids(p) == ids(p.lower()) == ids(_STOP.sub(r" \1", p)) for p in probe)
+
+        #: A special token that parts many chunks in one call: its id occurs nowhere else.
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.mark = next(((i, t.content) for i, t in sorted(added.items()) if t.special and not (t.normalized or t.lstrip or t.rstrip)), None)
+
+    def _encode_new(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk's ids. Chunks that hold no special token are run together, parted by one."""
+        out: list[bytes] = []
+        for i in range(0, len(chunks), 2000):
+            part = chunks[i : i + 2000]
+            if self.mark is None or any("<|" in c for c in part):
+                out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                continue
+            ids = np.array(self.tokenizer.encode(self.mark[1].join(part), add_special_tokens=False).ids, self.dtype)
+            cut = np.flatnonzero(ids == self.mark[0])
+            assert len(cut) == len(part) - 1
+            out += [x.tobytes() for x in np.split(np.delete(ids, cut), cut - np.arange(len(cut)))]
+        return out
 
     @classmethod
     def at(cls, path: str) -> ChunkTokenizer:
@@ -33,6 +57,11 @@ class ChunkTokenizer:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def _chunks(self, text: str) -> list[str]:
+        if self.lowers and "<|" not in text:  # special tokens are told by their case
+            text = _STOP.sub(r" \1", text.lower() if text.isascii() else text)
+        return _SPACE.split(text)
+
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
         end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         out = []
@@ -40,15 +69,14 @@ class ChunkTokenizer:
         while i < len(texts):
             chunks, size = [], 0
             while i < len(texts) and (not chunks or size < 1 << 20):
-                chunks.append(_SPACE.split(texts[i] or ""))
+                chunks.append(self._chunks(texts[i] or ""))
                 size += len(texts[i] or "")
                 i += 1
             known = self.known
             if len(known) > CACHE_CHUNKS:
                 known.clear()
             new = list({c for cs in chunks for c in cs if c not in known})
-            for e, c in zip(self.tokenizer.encode_batch(new, add_special_tokens=False), new):
-                known[c] = np.array(e.ids, self.dtype).tobytes()
+            known.update(zip(new, self._encode_new(new)))
             out += [b"".join([known[c] for c in cs]) + end for cs in chunks]
         return out
 
