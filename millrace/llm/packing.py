@@ -28,7 +28,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, end_id: int | None, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = ChunkTokenizer.at(tokenizer)
         for batch in batches:
-            ids = tok.encode(batch.column("text").to_pylist(), end_id)
+            ids = tok.encode(batch.column("text"), end_id)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.binary())], ["doc_id", "row", "ids"])
 
     coded = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "doc_id long, row long, ids binary")
