@@ -6,8 +6,8 @@ its add-one share of that symbol's training count, one share being kept for word
 corpus has its own probability, counted over all training texts, while the matrix that Baum-Welch trains has a fixed
 size at any scale. The likelihood of a text is exact: scaled forward recursion over all of its tokens.
 
-Training: a few rounds of Baum-Welch in the driver on ``seed_texts`` texts (of least id hash) give starting values;
-then each of ``rounds`` rounds aggregates expected counts of all training texts across partitions.
+Training: a few rounds of Baum-Welch in the driver on ``seed_pieces`` pieces of texts (of least hash, from anywhere in a
+text, each of at most ``PIECE`` tokens) give starting values; then each of ``rounds`` rounds aggregates expected counts of all training texts across partitions.
 
 Word counts meet texts without skew: words with at least N / 2**19 occurrences, of which there are at most 2**19, are
 broadcast; all others are joined, and none of those holds more than that share of the rows.
@@ -300,7 +300,7 @@ def _forward(shared):
     return run
 
 
-def score_texts(docs: DataFrame, *, states: int = 8, rounds: int = 2, seed_texts: int = 600, seed_rounds: int = 12, seed: int = 7, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, *, states: int = 8, rounds: int = 2, seed_pieces: int = 600, seed_rounds: int = 12, seed: int = 7, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Trains on the rows that aren't held out and scores all.
 
     held_out: a boolean column; by default the rows with crc32(id as text) mod 7 = 2.
@@ -332,9 +332,14 @@ def score_texts(docs: DataFrame, *, states: int = 8, rounds: int = 2, seed_texts
     coded = save(numbered.mapInArrow(_encode(shared), "row long, doc_id long, held_out boolean, n_tokens long, common_known long, common_log double, syms binary, rare array<long>"), "coded")
     train = coded.where(~F.col("held_out"))
 
-    first = least_hashed(train.select("syms", F.xxhash64("doc_id", "row").alias("o")), "o", seed_texts, train.count()).select("syms").collect()
+    step = 2 * PIECE  # bytes
+    n_pieces = F.ceil(F.octet_length("syms") / F.lit(step)).cast("int")  # one at least: a text has its end token
+    cut = F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda i: F.substring("syms", i * step + 1, F.lit(step)))
+    pieces = train.select("doc_id", "row", F.posexplode(cut).alias("nth", "syms")).select("syms", F.xxhash64("doc_id", "row", "nth").alias("o"))
+    known = train.agg(F.sum(n_pieces).alias("n")).first()["n"] or 0
+    first = least_hashed(pieces, "o", seed_pieces, known).select("syms").collect()
     model = initial(prior, states, seed)
-    sample = [np.frombuffer(r["syms"], np.uint16)[: 16 * PIECE] for r in first]
+    sample = [np.frombuffer(r["syms"], np.uint16) for r in first]
     for _ in range(seed_rounds if sample else 0):
         model = maximise(expected_counts(sample, model), prior, 20.0)
     for _ in range(rounds if sample else 0):
