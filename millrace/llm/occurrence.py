@@ -306,11 +306,14 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 8, den: in
     links = over_groups(met, ["root", "i", "j"], _search(num, den), "a long, b long")
     settled = components(links)
 
-    with_root = profile.select("doc_id", "n_shingles", "set_key").join(settled.withColumnRenamed("node", "set_key"), "set_key", "left")
-    with_root = with_root.withColumn("root", F.coalesce("root", "set_key"))
-    least = with_root.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # the least id of each distinct set is found first; saved, so that the last join has the sets' rows on one side only
+    # and a set of very many copies can be split there
+    linked = save(of_key.join(settled.withColumnRenamed("node", "set_key"), "set_key").select("set_key", "rep", "root"), "linked")
+    least = save(linked.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    of_linked = linked.join(least, "root").select("set_key", "least")
+    led = save(of_key.join(of_linked, "set_key", "left").select("set_key", F.coalesce("least", "rep").alias("component_id")), "led")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return with_root.join(least, "root", "left").select("doc_id", "n_shingles", found.alias("component_id"))
+    return profile.select("doc_id", "n_shingles", "set_key").join(led, "set_key", "left").select("doc_id", "n_shingles", found.alias("component_id"))
 
 
 def _id_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
