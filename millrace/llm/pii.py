@@ -56,8 +56,6 @@ _SPOKEN_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])[\x20\t]+dot[\x20\t]+(?=[A-Za-z0-
 _SPOKEN_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20\t]+at[\x20\t]+(?={_NAME}(?:[\x20\t]+dot[\x20\t]+|{_OPEN}(?:dot|\.){_SHUT}){_NAME})")
 _SPOKEN_DIGIT = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus(?=[\x20-]*(?:[0-9]|(?:{'|'.join(_SPELLED)})(?![A-Za-z0-9])))|(?:{'|'.join(_SPELLED)})(?![A-Za-z0-9]))")
 _AFTER_PLUS = re.compile(r"(?<=\+)[\x20-]+(?=[0-9])")
-#: Words with which a disguise may begin; texts without any aren't rewritten.
-_HINT = re.compile(rf"(?i)dot|[\[({{<][\x20\t]*(?:at|@|\.)|(?<![A-Za-z0-9])(?:{'|'.join(_SPELLED)})[\x20-]+(?:{'|'.join(_SPELLED)}|[0-9])(?![A-Za-z])")
 
 
 def _luhn(digits: str) -> bool:
@@ -104,13 +102,16 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 class Tape:
-    """A text under rewriting; for each character the source span it came from, and whether a transducer wrote it."""
+    """A text under rewriting; for each character the source span it came from, and whether a transducer wrote it.
+
+    The spans exist from the first rewritten character on; a text that no transducer rewrites costs its searches only.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
-        self.new = [False] * len(text)
+        self.start: list[int] = []
+        self.end: list[int] = []
+        self.new: list[bool] = []
 
     def rewrite(self, pattern: re.Pattern, to) -> None:
         parts, start, end, new, at = [], [], [], [], 0
@@ -118,6 +119,8 @@ class Tape:
             a, b = m.span()
             if a == b:
                 continue
+            if not self.new:
+                self.start, self.end, self.new = list(range(len(self.text))), list(range(1, len(self.text) + 1)), [False] * len(self.text)
             out = to(m)
             parts += [self.text[at:a], out]
             start += [*self.start[at:a], *[self.start[a]] * len(out)]
@@ -143,7 +146,8 @@ def _plain_character(m: re.Match) -> str:
 
 def rewritten(text: str) -> Tape:
     tape = Tape(text)
-    tape.rewrite(_SINGLE, _plain_character)
+    if not text.isascii():
+        tape.rewrite(_SINGLE, _plain_character)
     tape.rewrite(_SPOKEN_AT, lambda m: "@")
     tape.rewrite(_BRACKETED, lambda m: "@" if m[1] else ".")
     tape.rewrite(_SPOKEN_DOT, lambda m: ".")
@@ -157,20 +161,19 @@ def find_all(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[s
     text = text or ""
     base = find(text)
     everything = {k: list(v) for k, v in base.items()}
-    if _HINT.search(text) or not text.isascii() and _SINGLE.search(text):
-        tape = rewritten(text)
-        if tape.text != text:
-            for kind, spans in find(tape.text).items():
-                plain, i = base[kind], 0
-                for a, b in spans:
-                    start, end = tape.start[a], tape.end[b - 1]
-                    while i < len(plain) and plain[i][1] <= start:
-                        i += 1
-                    clear = i == len(plain) or end <= plain[i][0]
-                    # a character may also have gone (an invisible one), so that the match is shorter than its source
-                    if clear and (end - start > b - a or any(tape.new[a:b])):
-                        everything[kind].append((start, end))
-                everything[kind].sort()
+    tape = rewritten(text)
+    if tape.text != text:
+        for kind, spans in find(tape.text).items():
+            plain, i = base[kind], 0
+            for a, b in spans:
+                start, end = tape.start[a], tape.end[b - 1]
+                while i < len(plain) and plain[i][1] <= start:
+                    i += 1
+                clear = i == len(plain) or end <= plain[i][0]
+                # a character may also have gone (an invisible one), so that the match is shorter than its source
+                if clear and (end - start > b - a or any(tape.new[a:b])):
+                    everything[kind].append((start, end))
+            everything[kind].sort()
     return base, everything
 
 

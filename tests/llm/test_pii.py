@@ -62,6 +62,20 @@ def test_disguises_map_back_to_their_source():
     only("٤١١١ 1111 1111 1111", "card", "٤١١١ 1111 1111 1111")
 
 
+def test_few_disguised_characters():
+    only("call plus 44 20 7946 0958", "phone", "plus 44 20 7946 0958")
+    only("4111 1111 1111 111 one", "card", "4111 1111 1111 111 one")
+    only("host 10.two.3.4", "ip", "10.two.3.4")
+    assert mask_text("call plus 44 20 7946 0958.") == "call [phone]."
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from([*" -.+@:\n", "plus ", "one", "Two ", "five ", "0", "10.", "7946", "4111 1111 1111 ", "111", " at ", "(at)", "[dot]", " DOT ", "jane", "mail.example", "é"]), max_size=14))
+def test_spans_do_not_depend_on_other_words(parts):
+    text = "".join(parts)
+    assert find_all(text) == find_all(text + "\n.\nanecdote")
+
+
 def test_plain_text_gains_nothing():
     for text in ("look at example.com", "we met at noon. dot com boom", "one two three", "plus one", "at that point (at home) [dot]", "naïve café – ok", "Элемент в тексте", "four score and seven"):
         base, every = find_all(text)
