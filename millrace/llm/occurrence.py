@@ -140,7 +140,7 @@ def _candidates(num: int, den: int):
     def lists(h, key, n, last, long_h):
         starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.concatenate((starts, [len(h)])))
-        long = (size > PAIRED) | (h[starts] == long_h[0] if long_h else False)
+        long = (size > PAIRED) | np.isin(h[starts], np.array(long_h, np.int64))
         n = n.astype(np.int64)
         out = []
         if long.any():
@@ -173,7 +173,7 @@ def _candidates(num: int, den: int):
             h, key, n, last = h[new], key[new], n[new], last[new]
             cut = len(h) if final else int(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[-1])
             if len(h) - cut > PAIRED or not final and long_h == [int(h[-1])]:  # of a long list only the last row is needed
-                yield from lists(h, key, n, last, [int(h[-1])])
+                yield from lists(h, key, n, last, [*long_h, int(h[-1])])  # the list carried on from the chunk before may end in this one
                 long_h, cut = [int(h[-1])], len(h) - 1
             elif cut:
                 yield from lists(h[:cut], key[:cut], n[:cut], last[:cut], long_h)

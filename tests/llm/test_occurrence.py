@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -81,6 +82,32 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert run(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
 
 
+def candidates(lists, paired, list_rows, batch_rows):
+    import millrace.llm.occurrence as occ
+
+    rows = [(h, k, 20 + k % 4, 5) for h, keys in enumerate(lists) for k in sorted(keys, key=lambda k: (k % 4, k))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + batch_rows]), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["h", "set_key", "n", "last"]) for i in range(0, len(rows), batch_rows)]
+    before = occ.PAIRED, occ.LIST_ROWS
+    occ.PAIRED, occ.LIST_ROWS = paired, list_rows
+    try:
+        return sorted(r for b in occ._candidates(85, 100)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns)))
+    finally:
+        occ.PAIRED, occ.LIST_ROWS = before
+
+
+def test_a_long_list_ends_in_a_chunk_that_ends_in_another():
+    # 10 sets share shingle 0; its last two come in one chunk with shingle 1 and the beginning of the long list of shingle 2
+    lists = [range(0, 40, 4), (0, 36), range(0, 48, 4)]
+    got = candidates(lists, 3, 8, 8)
+    assert [r for r in got if r[2] == 0] == sorted([*((k, k + 4, 0) for k in range(0, 36, 4)), *((k, k + 4, 0) for k in range(0, 44, 4))])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=14), min_size=1, max_size=8), st.integers(2, 5), st.integers(1, 12), st.integers(1, 6))
+def test_candidates_do_not_depend_on_chunks(lists, paired, list_rows, batch_rows):
+    assert candidates(lists, paired, list_rows, batch_rows) == candidates(lists, paired, 10**6, batch_rows)
+
+
 def test_empty_and_kept(spark):
     assert run(spark, [], 4, 85, 100) == []
     rows = [(3, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (7, "z"), (8, None), (None, "q")]
