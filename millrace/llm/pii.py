@@ -52,8 +52,8 @@ _OPEN, _SHUT = r"[\x20\t]*[\[({<][\x20\t]*", r"[\x20\t]*[\])}>][\x20\t]*"
 _NAME = "[A-Za-z0-9-]+"
 _BRACKETED = re.compile(rf"(?i){_OPEN}(?:(at|@)|(dot|\.))(?![A-Za-z0-9]){_SHUT}")
 _SPOKEN_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])[\x20\t]+dot[\x20\t]+(?=[A-Za-z0-9])")
-#: " at " in words counts only before a name with a dot that was itself disguised.
-_SPOKEN_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20\t]+at[\x20\t]+(?={_NAME}(?:[\x20\t]+dot[\x20\t]+|{_OPEN}(?:dot|\.){_SHUT}){_NAME})")
+#: " at " in words counts only before a domain of which at least one dot is itself disguised.
+_SPOKEN_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20\t]+at[\x20\t]+(?={_NAME}(?:\.{_NAME})*(?:[\x20\t]+dot[\x20\t]+|{_OPEN}(?:dot|\.){_SHUT}){_NAME})")
 _SPOKEN_DIGIT = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus(?=[\x20-]*(?:[0-9]|(?:{'|'.join(_SPELLED)})(?![A-Za-z0-9])))|(?:{'|'.join(_SPELLED)})(?![A-Za-z0-9]))")
 _AFTER_PLUS = re.compile(r"(?<=\+)[\x20-]+(?=[0-9])")
 

@@ -69,6 +69,16 @@ def test_few_disguised_characters():
     assert mask_text("call plus 44 20 7946 0958.") == "call [phone]."
 
 
+def test_spoken_at_before_plain_and_disguised_dots():
+    only("jane at mail.example dot com", "email", "jane at mail.example dot com")
+    only("jane at a.b.example (dot) co.uk, please", "email", "jane at a.b.example (dot) co.uk")
+    for text in ("look at example.com", "look at www.example.com or dot com", "jane at mail.example. dot com"):
+        assert find_all(text)[1]["email"] == [], text
+    for c in (" at a.a", " at a. dot ", "a at a.", ".a", " at a dot"):
+        find_all(c * 50_000)
+    find_all("a at " + "a." * 100_000)
+
+
 @settings(max_examples=1000, deadline=None)
 @given(st.lists(st.sampled_from([*" -.+@:\n", "plus ", "one", "Two ", "five ", "0", "10.", "7946", "4111 1111 1111 ", "111", " at ", "(at)", "[dot]", " DOT ", "jane", "mail.example", "é"]), max_size=14))
 def test_spans_do_not_depend_on_other_words(parts):
