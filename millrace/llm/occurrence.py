@@ -263,8 +263,10 @@ def _ship(k: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            wanted = np.flatnonzero(_marked(bitmap, _id_hash(ids)))
+            ids = batch.column(0)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            # with nulls left in, the column would become doubles, and large ids be rounded
+            wanted = np.flatnonzero(_marked(bitmap, _id_hash(ids.fill_null(0).to_numpy())) & known)
             picked = batch.take(pa.array(wanted))
             for lo, hi, texts in text_slices(picked.column(1)):
                 rows = [(i, set_key(s), s.tobytes()) for i, s in zip(range(lo, hi), shingle_sets(texts, k)) if len(s)]

@@ -108,6 +108,13 @@ def test_candidates_do_not_depend_on_chunks(lists, paired, list_rows, batch_rows
     assert candidates(lists, paired, list_rows, batch_rows) == candidates(lists, paired, 10**6, batch_rows)
 
 
+def test_large_ids_beside_null_ids(spark):
+    base = [f"t{i}" for i in range(60)]
+    rows = [(2**53 + 1, " ".join(base)), (None, " ".join(base)), (2**53 + 3, " ".join([*base, "x"])), (2**62 + 1, " ".join([*base, "y", "z"])), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, jaccard_components(df).collect()), key=str) == brute(rows, 5, 8, 10)
+
+
 def test_empty_and_kept(spark):
     assert run(spark, [], 4, 85, 100) == []
     rows = [(3, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (7, "z"), (8, None), (None, "q")]
