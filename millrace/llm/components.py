@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import save
+from millrace.llm.scratch import discard, save
 
 
 def _mark(df: DataFrame) -> tuple[int, int]:
@@ -34,7 +34,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(b.alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        now = save(small.where(a != b).distinct(), "links")
+        last, now = now, save(small.where(a != b).distinct(), "links")
+        discard(last)
         before, seen = seen, _mark(now)
         if before == seen:
             break

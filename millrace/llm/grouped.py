@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.llm.scratch import map_batches
+
 
 def over_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
     """Applies ``fn`` to the rows of each value of the integer ``keys``; many small groups share a task and its batches."""
@@ -16,8 +18,6 @@ def over_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Tabl
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
             key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for lo, hi in zip(cuts, cuts[1:]):
@@ -35,31 +35,4 @@ def over_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Tabl
         if out is not None and out.num_rows:
             yield from out.to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
-class Forest:
-    """Disjoint sets over 0..n-1; the root is the least member."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        if x < y:
-            self.up[y] = x
-        else:
-            self.up[x] = y
-        return True
-
-    def roots(self) -> np.ndarray:
-        return np.array([self.root(i) for i in range(len(self.up))], np.int64)
+    return map_batches(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)

@@ -21,18 +21,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.bitmaps import BITMAP_BITS, bitmap_of, marked, positions
 from millrace.llm.components import components
 from millrace.llm.grouped import over_groups
-from millrace.llm.scratch import save, small_batches
+from millrace.llm.scratch import discard, map_batches, save, unused
 from millrace.llm.wordhash import shingle_sets, text_slices
 
-#: Bits of the bitmaps over shingles and ids (2 MB); more set bits only cost time.
-BITMAP_BITS = 1 << 24
 #: A shingle in more prefixes than this is marked as frequent; marked ones are ordered last.
 FREQUENT = 16
 #: Shingles of the sets that meet in one task.
@@ -62,26 +60,6 @@ def set_key(s: np.ndarray) -> int:
     return int(np.uint64(x ^ (x >> 29)).astype(np.int64))
 
 
-def _bitmap(positions: DataFrame) -> bytes:
-    """``position`` (int, below BITMAP_BITS) as a bitmap: blocks are filled on executors; the driver gets at most 2 MB."""
-
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << 16, np.uint8)
-        bits[pdf["position"].to_numpy() & 0xFFFF] = 1
-        return pd.DataFrame({"block": [int(key[0])], "bits": [np.packbits(bits).tobytes()]})
-
-    rows = positions.distinct().groupBy(F.shiftright("position", 16).alias("block")).applyInPandas(fill, "block int, bits binary").collect()
-    out = bytearray(BITMAP_BITS >> 3)
-    for r in rows:
-        out[r["block"] << 13 : (r["block"] + 1) << 13] = r["bits"]
-    return bytes(out)
-
-
-def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-
-
 def _id_hash(ids: np.ndarray) -> np.ndarray:
     x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(31))
@@ -117,7 +95,7 @@ def _postings(k: int, num: int, den: int, bits):
                     if not len(s):
                         continue
                     p = prefix_length(len(s), num, den)
-                    late = _marked(bitmap, s)
+                    late = marked(bitmap, s)
                     order = np.concatenate((np.flatnonzero(late == 0)[:p], np.flatnonzero(late)[:p]))[:p]
                     rank = int(s[order[-1]] >> np.uint64(2)) | int(late[order[-1]]) << 62  # of the last in the common order
                     for c, v in zip(cols, (s[order].view(np.int64), np.full(p, set_key(s), np.int64), np.full(p, len(s), np.int32), np.full(p, rank, np.int64))):
@@ -266,7 +244,7 @@ def _ship(k: int, bits):
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             # with nulls left in, the column would become doubles, and large ids be rounded
-            wanted = np.flatnonzero(_marked(bitmap, _id_hash(ids.fill_null(0).to_numpy())) & known)
+            wanted = np.flatnonzero(marked(bitmap, _id_hash(ids.fill_null(0).to_numpy())) & known)
             picked = batch.take(pa.array(wanted))
             for lo, hi, texts in text_slices(picked.column(1)):
                 rows = [(i, set_key(s), s.tobytes()) for i, s in zip(range(lo, hi), shingle_sets(texts, k)) if len(s)]
@@ -276,35 +254,36 @@ def _ship(k: int, bits):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links texts whose sets of ``words``-word shingles have Jaccard similarity at least num/den.
+def _classes(texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """texts: (doc_id long, text string). Returns two tables that outlive the call.
 
-    Returns (doc_id long, n_shingles long, component_id long) for each row; component_id is the least id reachable.
+    The first has (doc_id, n_shingles, set_key) of each row, the second (set_key, least) of each set of a row with an id:
+    the least id in the set's component.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = save(texts.mapInArrow(_profile(words, num, den), "doc_id long, n_shingles long, set_key long, head array<long>"), "profile")
+    spark = texts.sparkSession
+    profile = save(map_batches(texts, _profile(words, num, den), "doc_id long, n_shingles long, set_key long, head array<long>"), "profile")
 
     counted = profile.select(F.explode("head").alias("h")).groupBy("h").count().where(F.col("count") > FREQUENT)
-    frequent = spark.sparkContext.broadcast(_bitmap(counted.select((F.col("h").bitwiseAND(BITMAP_BITS - 1)).cast("int").alias("position"))))
-    postings = texts.mapInArrow(_postings(words, num, den, frequent), "h long, set_key long, n int, last long")
+    frequent = spark.sparkContext.broadcast(bitmap_of(counted.select((F.col("h").bitwiseAND(BITMAP_BITS - 1)).cast("int").alias("position"))))
+    postings = map_batches(texts, _postings(words, num, den, frequent), "h long, set_key long, n int, last long")
     listed = postings.repartition("h").sortWithinPartitions("h", "n", "set_key")
+    # lists are cut into chunks of a fixed number of rows, not into small batches
     pairs = listed.mapInArrow(_candidates(num, den), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"))
     enclosed = components(pairs.where(F.col("common") >= F.col("need")))
 
-    of_key = profile.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    held = save(of_key.join(enclosed.withColumnRenamed("node", "set_key"), "set_key").where(F.col("rep").isNotNull()), "enclosed")
+    some = profile.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+    of_key = save(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "sets")
+    held = save(of_key.select("set_key", "rep", "n").join(enclosed.withColumnRenamed("node", "set_key"), "set_key"), "enclosed")
     cut = held.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    held = held.join(cut, "root").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    parts = held.join(cut, "root").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     # a set of block x goes to the task of each pair of blocks that holds x
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    held = held.select("set_key", F.col("rep").alias("doc_id"), "root", "block", other.alias("other"))
-    held = held.select("set_key", "doc_id", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    parts = parts.select("set_key", F.col("rep").alias("doc_id"), "root", "block", other.alias("other"))
+    parts = parts.select("set_key", "doc_id", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
-    wanted = spark.sparkContext.broadcast(_bitmap(held.select("doc_id").distinct().mapInArrow(_id_positions, "position int")))
-    shipped = texts.mapInArrow(_ship(words, wanted), "doc_id long, set_key long, shingles binary")
-    met = shipped.join(held, ["doc_id", "set_key"]).select("root", "i", "j", "set_key", "shingles")
+    wanted = spark.sparkContext.broadcast(bitmap_of(map_batches(held.select(F.col("rep").alias("doc_id")).distinct(), _id_positions, "position int")))
+    shipped = map_batches(texts, _ship(words, wanted), "doc_id long, set_key long, shingles binary")
+    met = shipped.join(parts, ["doc_id", "set_key"]).select("root", "i", "j", "set_key", "shingles")
     links = over_groups(met, ["root", "i", "j"], _search(num, den), "a long, b long")
     settled = components(links)
 
@@ -313,22 +292,37 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 8, den: in
     linked = save(of_key.join(settled.withColumnRenamed("node", "set_key"), "set_key").select("set_key", "rep", "root"), "linked")
     least = save(linked.groupBy("root").agg(F.min("rep").alias("least")), "least")
     of_linked = linked.join(least, "root").select("set_key", "least")
-    led = save(of_key.join(of_linked, "set_key", "left").select("set_key", F.coalesce("least", "rep").alias("component_id")), "led")
-    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return profile.select("doc_id", "n_shingles", "set_key").join(led, "set_key", "left").select("doc_id", "n_shingles", found.alias("component_id"))
+    led = save(of_key.join(of_linked, "set_key", "left").select("set_key", F.coalesce("least", "rep").alias("least")), "led")
+    discard(of_key, held, linked, least)
+    return profile.select("doc_id", "n_shingles", "set_key"), led
+
+
+def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links texts whose sets of ``words``-word shingles have Jaccard similarity at least num/den.
+
+    Returns (doc_id long, n_shingles long, component_id long) for each row; component_id is the least id reachable.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    profile, led = _classes(texts, words, num, den)
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return profile.join(led, "set_key", "left").select("doc_id", "n_shingles", found.alias("component_id"))
 
 
 def _id_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = (_id_hash(batch.column(0).to_numpy(zero_copy_only=False)) & np.uint64(BITMAP_BITS - 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(at)], ["position"])
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that lead their component, with all columns; equal rows count once, rows without an id all stay."""
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **how)
-    leaders = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__lead")).distinct()
-    kept = docs.join(leaders, F.col(id_col).cast("long") == F.col("__lead"), "left_semi")
-    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-    kept = kept.withColumn("__again", F.row_number().over(again)).where(F.col("__again") == 1).drop("__again")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+        yield pa.RecordBatch.from_arrays([pa.array(positions(_id_hash(batch.column(0).to_numpy())))], ["position"])
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10, text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of linked texts, with all columns.
+
+    Rows are told apart by a number of their own, so neither repeated nor null ids matter: equal texts are one group
+    whatever their ids, and the first row of a group stays. Rows without words link with nothing and all stay.
+    """
+    row = unused("row", docs.columns)
+    numbered = save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(row).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    profile, led = _classes(texts, words, num, den)
+    first = led.select(F.col("least").alias(row)).distinct()
+    blank = profile.where(F.col("set_key").isNull()).select(F.col("doc_id").alias(row))
+    return numbered.join(first.unionByName(blank), row, "left_semi").select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import small_batches
+from millrace.llm.scratch import map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -183,7 +183,6 @@ def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone long, base_sha256, spans string) for each row; counts are of all spans."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +192,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array([joined(e) for _, e in got], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask_text(text: str) -> str:
@@ -211,7 +210,6 @@ def mask_text(text: str) -> str:
 
 def mask(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` (all rows and columns) with personal data masked, and its length renewed where there is a column for it."""
-    small_batches(docs.sparkSession)
     names = docs.columns
     t, n = names.index(text_col), names.index(length_col) if length_col in names else None
     schema = docs.schema
@@ -225,4 +223,4 @@ def mask(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n
                 cols[n] = pa.array([None if x is None else len(x) for x in texts], batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

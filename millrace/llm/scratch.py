@@ -1,29 +1,43 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and maps over small Arrow batches."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows in an Arrow batch: texts may be long, so few of them travel at once.
+#: Rows that are handled at once: texts may be long. (Spark bounds what travels at once by bytes.)
 BATCH_ROWS = 512
 
+_local: dict[str, str] = {}  # by application: the folder of a local session without a setting
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local temporary one where the setting is absent (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder of ``spark.checkpoint.dir``. Where the setting is absent, a temporary one on a local master, else an error."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return _local[context.applicationId]
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows, without a change to the session's settings."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(batch.slice(lo, BATCH_ROWS) for batch in batches for lo in range(0, batch.num_rows, BATCH_ROWS))
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def least_hashed(df: DataFrame, hashed: str, n: int, total: int) -> DataFrame:
@@ -38,13 +52,34 @@ def least_hashed(df: DataFrame, hashed: str, n: int, total: int) -> DataFrame:
     return few.orderBy(hashed).limit(n)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that isn't among ``columns`` (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, and no executor owns the rows."""
+    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, and no executor owns the rows.
+
+    The table is removed by ``discard`` or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._millrace_path = path
+    return back
+
+
+def discard(*saved: DataFrame) -> None:
+    """Removes tables that ``save`` gave, once all that reads them has run."""
+    for df in saved:
+        path = getattr(df, "_millrace_path", None)
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -119,7 +119,17 @@ def test_empty_and_kept(spark):
     assert run(spark, [], 4, 85, 100) == []
     rows = [(3, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (7, "z"), (8, None), (None, "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, keep_one(df).collect()), key=str) == sorted([(2, "a b c d e f g"), (7, "z"), (8, None), (None, "q")], key=str)
+    assert sorted(map(tuple, keep_one(df).collect()), key=str) == sorted([(3, "a b c d e f g"), (7, "z"), (8, None), (None, "q")], key=str)
+
+
+def test_one_row_of_a_group_is_kept_whatever_its_ids(spark):
+    a, c = "a b c d e f g", "t u v w x y z"
+    rows = [(2, a), (5, a), (5, c), (None, a), (None, a), (None, c), (None, None), (None, None), (5, "")]
+    df = spark.createDataFrame([(*r, i, "q", 1, 2) for i, r in enumerate(rows)], "doc_id long, text string, row long, __again string, __lead int, set_key int").repartition(3)
+    got = keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((r["text"] for r in got.collect()), key=str) == sorted([a, c, None, None, ""], key=str)
+    assert keep_one(df.limit(0)).collect() == []
 
 
 @settings(max_examples=60, deadline=None)
