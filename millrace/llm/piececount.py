@@ -1,7 +1,7 @@
 """Exact piece counts under a unigram vocabulary, without keeping pieces.
 
 An Aho-Corasick automaton finds every vocabulary piece in a word; dynamic programming over positions carries the best
-score and the number of pieces of the best path. Ties are settled as the tokenizer settles them: a path replaces
+score and the number of pieces of the best path, so no path is kept or walked back. Ties are settled as the tokenizer settles them: a path replaces
 another that ends at the same position only if its score is higher, and paths are tried by their last piece's start,
 earliest first. A character that is no piece by itself may be an unknown piece (score: the least of the vocabulary less
 10); adjacent unknown pieces are one, or count by their UTF-8 bytes where the vocabulary has all byte pieces.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import small_batches
+from millrace.llm.scratch import map_batches
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -55,33 +55,39 @@ class PieceCounter:
         return cls._open[key]
 
     def count(self, word: str) -> tuple[int, float]:
-        """(pieces, score) of the best path."""
+        """(pieces, score) of the best path: each position carries the score and the pieces of the best path to it.
+
+        ``open_at`` is where the run of unknown pieces at the end of that path begins (-1: there is none); ``pieces``
+        counts what comes before the run, which is counted as a whole once a known piece or the end closes it.
+        """
         n = len(word)
-        score = [0.0] + [-math.inf] * n
-        start = [-1] * (n + 1)  # of the last piece of the best path to each position
-        unknown = [False] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: (end, score), shortest first
+        score = [-math.inf] * (n + 1)
+        score[0] = 0.0
+        pieces, open_at = [0] * (n + 1), [-1] * (n + 1)
+        ends: list[list[tuple[int, float]] | None] = [None] * n  # by start: (end, score), shortest first
         for end, (length, s) in self.automaton.iter(word):
-            ends[end + 1 - length].append((end + 1, s))
+            start = end + 1 - length
+            if ends[start] is None:
+                ends[start] = []
+            ends[start].append((end + 1, s))
         for i in range(n):
-            here, single = score[i], False
-            for e, s in ends[i]:
-                if start[e] < 0 or here + s > score[e]:
-                    score[e], start[e], unknown[e] = here + s, i, False
-                single |= e == i + 1
-            if not single and (start[i + 1] < 0 or here + self.unknown_score > score[i + 1]):
-                score[i + 1], start[i + 1], unknown[i + 1] = here + self.unknown_score, i, True
-        pieces, e = 0, n
-        while e > 0:
-            if not unknown[e]:
-                pieces, e = pieces + 1, start[e]
-                continue
-            stop = e
-            while e > 0 and unknown[e]:
-                e = start[e]
-            run = word[e:stop]  # adjacent unknown pieces are one
-            pieces += 1 if run in self.pieces or not self.by_bytes else len(run.encode())
-        return pieces, score[n]
+            here, run = score[i], open_at[i]
+            single = False
+            if ends[i]:
+                closed = pieces[i] + 1 + (self.unknown_pieces(word[run:i]) if run >= 0 else 0)
+                for e, s in ends[i]:
+                    if here + s > score[e]:
+                        score[e], pieces[e], open_at[e] = here + s, closed, -1
+                    if e == i + 1:
+                        single = True
+            if not single and here + self.unknown_score > score[i + 1]:
+                score[i + 1], pieces[i + 1], open_at[i + 1] = here + self.unknown_score, pieces[i], i if run < 0 else run
+        last = open_at[n]
+        return pieces[n] + (self.unknown_pieces(word[last:n]) if last >= 0 else 0), score[n]
+
+    def unknown_pieces(self, run: str) -> int:
+        """Adjacent unknown pieces are one, or as many as their bytes."""
+        return 1 if run in self.pieces or not self.by_bytes else len(run.encode("utf-8", "replace"))
 
     def counts(self, texts: list[str | None]) -> list[tuple[int, float]]:
         out = []
@@ -124,7 +130,6 @@ def unigram_vocabulary(path: str) -> tuple[list[tuple[str, float]], int, bool]:
 
 def count_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns (doc_id long, n_pieces long, path_score double) for each row."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter.of_sentencepiece(model)
@@ -133,7 +138,7 @@ def count_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got[:, 0].astype(np.int64)), pa.array(got[:, 1].copy())], ["doc_id", "n_pieces", "path_score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, path_score double")
+    return map_batches(rows, run, "doc_id long, n_pieces long, path_score double")
 
 
 def piece_model() -> str:
