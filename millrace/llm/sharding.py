@@ -19,12 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import save
+from millrace.llm.scratch import discard, save
 
 #: Groups in a block, and partial partitions merged in one task or in the driver.
 BLOCK_GROUPS = 20_000
 FAN = 1024
 OVERHEAD = 16
+#: Groups with at least one HOT-th of all rows are joined by a broadcast.
+HOT = 16_384
 
 
 def difference(parts: list[np.ndarray], k: int) -> list[np.ndarray]:
@@ -89,7 +91,7 @@ def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"))
     rows = save(rows, "sizes")
     key = ["g", "text_crc32", "size"]
     groups = save(rows.groupBy(*key).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
@@ -117,14 +119,24 @@ def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col
         home = last.select(F.col("node").alias("block"), F.col("at").alias("place"), "shard")
     else:
         home = home.join(last, ["node", "at"]).select("block", "place", "shard")
-    where = placed.join(home, ["block", "place"]).select(*key, "shard")
-
-    # slots: rows of a shard are dealt into buckets; a row's slot is its place in its bucket after all earlier buckets
-    buckets = max(16, -(-(seen["rows"] or 0) // (shards * 20_000)))
-    found = save(rows.join(where, key).select("doc_id", "size", "text_crc32", "g", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int").alias("bucket")), "found")
+    where = save(placed.join(home, ["block", "place"]).select(*key, "shard"), "where")
+
+    # a group with a large share of all rows is looked up in a broadcast (there are at most HOT of these), so that no task
+    # of the join gets all of its rows; all others are joined
+    n_rows = seen["rows"] or 0
+    hot = F.broadcast(groups.where(F.col("n") * HOT >= n_rows).select(*key).join(where, key).withColumnRenamed("shard", "hot"))
+    looked = rows.join(hot, key, "left")
+    rest = looked.where(F.col("hot").isNull()).drop("hot").join(where, key)
+    homed = looked.where(F.col("hot").isNotNull()).withColumnRenamed("hot", "shard").unionByName(rest)
+
+    # slots: rows of a shard are dealt into buckets by a number of their own, whatever their ids and texts; a row's slot is
+    # its place in its bucket after all earlier buckets
+    buckets = max(16, -(-n_rows // (shards * 20_000)))
+    found = save(homed.select("row", "doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int").alias("bucket")), "found")
+    discard(rows, groups, placed, where)
     counts = found.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "g")
+    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "row")
     slotted = found.withColumn("nth", F.row_number().over(within)).join(offsets, ["shard", "bucket"])
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") - 1 + F.col("offset")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

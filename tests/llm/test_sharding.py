@@ -8,14 +8,41 @@ import numpy as np
 import millrace.llm.sharding as sh
 
 
-def test_differencing_is_a_partition_and_beats_dealing():
+def naive(parts, k):
+    """Differencing with lists of (sum, members): the two of largest spread are merged, largest sum on smallest."""
+    live = [(i, sorted(((int(s), ((i, p),)) for p, s in enumerate(part)), key=lambda t: -t[0])) for i, part in enumerate(parts)]
+    n = len(live)
+    while len(live) > 1:
+        live.sort(key=lambda t: (t[1][-1][0] - t[1][0][0], t[0]))
+        (_, a), (_, b) = live[:2]
+        both = [(x + y, own + other) for (x, own), (y, other) in zip(a, reversed(b))]
+        live = [*live[2:], (n, sorted(both, key=lambda t: -t[0]))]
+        n += 1
+    return {m: place for _, last in live for place, (_, members) in enumerate(last) for m in members}
+
+
+def test_differencing_against_lists():
+    r = random.Random(3)
+    for t in range(60):
+        k = r.randrange(2, 8)
+        parts = [np.array(sorted((r.randrange(50 if t % 2 else 10_000) if r.random() < 0.7 else 0 for _ in range(k)), reverse=True)) for _ in range(r.randrange(1, 40))]
+        want = naive(parts, k)
+        got = sh.difference(parts, k)
+        assert {(i, p): int(got[i][p]) for i in range(len(parts)) for p in range(k)} == want
+
+
+def test_differencing_beats_dealing():
     r = random.Random(3)
     x = [r.randrange(1, 10_000) for _ in range(400)]
     parts = np.zeros((400, 7), np.int64)
     parts[:, 0] = x
-    bins = [int(p[0]) for p in sh.difference(list(parts), 7)]
-    sums = np.bincount(bins, x, 7)
-    assert sums.max() - sums.min() <= 50 and (np.diff(sums) <= 0).all()
+    sums = np.bincount([int(p[0]) for p in sh.difference(list(parts), 7)], x, 7)
+    dealt = np.bincount([i % 7 for i in range(400)], sorted(x), 7)
+    greedy = [0] * 7
+    for v in sorted(x, reverse=True):
+        greedy[greedy.index(min(greedy))] += v
+    assert sums.max() - sums.min() <= 50 < min(max(greedy) - min(greedy) + 50, dealt.max() - dealt.min())
+    assert (np.diff(sums) <= 0).all()
 
 
 def test_classic_two_way_case():
@@ -52,6 +79,26 @@ def test_documents(spark, sf, monkeypatch):
     assert max(by.values()) - min(by.values()) < 0.01 * sum(by.values())
 
 
+def test_whole_table_against_lists(spark):
+    """One block: the shards' sizes are those that differencing with lists gives."""
+    r = random.Random(9)
+    rows = [(i, "x" * r.randrange(2000)) for i in range(300)]
+    by = check(rows, sh.shard(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect(), 6)
+    group = defaultdict(int)
+    for _, t in rows:
+        group[t] += len(t) + 16
+    parts = [np.array([g] + [0] * 5) for g in group.values()]
+    sums = defaultdict(int)
+    for (i, p), place in naive(parts, 6).items():
+        sums[place] += int(parts[i][p])
+    assert max(by.values()) - min(by.values()) <= max(sums.values()) - min(sums.values()) + 40
+
+
+def test_a_hot_text_with_null_ids(spark):
+    rows = [(None if i % 2 else i, "the same text" if i % 3 else f"text {i}") for i in range(900)]
+    check(rows, sh.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4).collect(), 4)
+
+
 def test_edges(spark):
     rows = [(1, None), (1, None), (None, ""), (2, "é" * 50_000), (3, "a"), (4, "a")]
     df = spark.createDataFrame([(d, t, 5, "z") for d, t in rows], "doc_id long, text string, size int, shard string")
