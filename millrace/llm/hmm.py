@@ -7,7 +7,9 @@ corpus has its own probability, counted over all training texts, while the matri
 size at any scale. The likelihood of a text is exact: scaled forward recursion over all of its tokens.
 
 Training: a few rounds of Baum-Welch in the driver on ``seed_pieces`` pieces of texts (of least hash, from anywhere in a
-text, each of at most ``PIECE`` tokens) give starting values; then each of ``rounds`` rounds aggregates expected counts of all training texts across partitions.
+text, each of at most ``SEED`` tokens and taken as a sequence of its own) give starting values only; then each of
+``rounds`` rounds aggregates the expected counts of all training texts, whole, across partitions. A long text is run in
+pieces side by side, with the forward and backward messages carried over each cut, so its counts are those of the whole.
 
 Word counts meet texts without skew: words with at least N / 2**19 occurrences, of which there are at most 2**19, are
 broadcast; all others are joined, and none of those holds more than that share of the rows.
@@ -23,12 +25,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import least_hashed, save, small_batches
+from millrace.llm.scratch import least_hashed, map_batches, save
 from millrace.llm.wordhash import hash_words, text_slices
 
 SYMBOL_BITS = 15
@@ -37,8 +38,9 @@ END = np.uint64(0xFFFFFFFFFFFFFFFF)
 END_SYMBOL = SYMBOLS - 1
 #: Words with at least this share of all training tokens are broadcast.
 COMMON_SHARE = 1 / (1 << 19)
-#: Tokens of a text in one training sequence, and of a block when a long text is scored by blocks.
-PIECE = 512
+#: Tokens of a piece that gives starting values, of a piece when a long text is trained on, of a block when it is scored.
+SEED = 512
+PIECE = 2048
 BLOCK = 1024
 _RANGE = 1024  # symbols in a row of partial counts
 LN10 = np.log(10.0)
@@ -169,24 +171,59 @@ class Counts:
     emit: np.ndarray  # (K, SYMBOLS)
 
 
-def expected_counts(seqs: list[np.ndarray], model: Model) -> Counts:
-    """Baum-Welch counts (forward-backward) of sequences; pieces of PIECE symbols are run side by side.
+def _messages(pieces: list[np.ndarray], model: Model) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For consecutive pieces of one sequence: the state shares before each, and the backward values at the end of each.
 
-    A piece that doesn't begin its sequence starts from the state shares of the stationary distribution.
+    Both come from each piece's product of transition and emission matrices (up to a factor), found side by side.
     """
     k = len(model.start)
-    rest = np.linalg.matrix_power(model.move, 64)[0]
+    grid, n, order = _padded(pieces)
+    live = np.searchsorted(-n, -np.arange(len(grid)), side="left")
+    opens = order == 0
+    m = np.tile(np.eye(k), (len(pieces), 1, 1))
+    for t in range(len(grid)):
+        d = int(live[t])
+        now = m[:d].reshape(-1, k) @ model.move
+        now = now.reshape(d, k, k)
+        if t == 0:
+            now[opens[:d]] = np.eye(k)  # the first piece begins with the start shares, without a transition
+        now *= model.emit[grid[t, :d]][:, None, :]
+        m[:d] = now / now.sum((1, 2), keepdims=True)
+    products = np.empty_like(m)
+    products[order] = m
+    before, after = [model.start], [np.ones(k)]
+    for x in products[:-1]:
+        v = before[-1] @ x
+        before.append(v / v.sum())
+    for x in products[:0:-1]:
+        v = x @ after[-1]
+        after.append(v / v.sum())
+    return before, after[::-1]
+
+
+def expected_counts(seqs: list[np.ndarray], model: Model) -> Counts:
+    """Baum-Welch counts (forward-backward) of whole sequences; those over PIECE symbols are run in pieces side by side."""
+    k = len(model.start)
     out = Counts(np.zeros(k), np.zeros((k, k)), np.zeros((k, SYMBOLS)))
-    pieces = [(s[lo : lo + PIECE], lo == 0) for s in seqs for lo in range(0, len(s), PIECE)]
+    pieces: list[tuple[np.ndarray, bool, np.ndarray, np.ndarray]] = []  # symbols, whether first, shares before, values after
+    for s in seqs:
+        if len(s) <= PIECE:
+            if len(s):
+                pieces.append((s, True, model.start, np.ones(k)))
+        else:
+            parts = [s[lo : lo + PIECE] for lo in range(0, len(s), PIECE)]
+            before, after = _messages(parts, model)
+            pieces += [(x, i == 0, before[i], after[i]) for i, x in enumerate(parts)]
     pieces.sort(key=lambda p: -len(p[0]))
     for g in range(0, len(pieces), 256):
         group = pieces[g : g + 256]
         grid, n, order = _padded([p[0] for p in group])
         first = np.array([group[i][1] for i in order.tolist()])
+        before, after = (np.array([group[i][c] for i in order.tolist()]) for c in (2, 3))
         live = np.searchsorted(-n, -np.arange(len(grid)), side="left")
         steps = len(grid)
         alphas, emits, scales = [], [], []
-        a = np.where(first[:, None], model.start, rest)
+        a = np.where(first[:, None], before, before @ model.move)
         for t in range(steps):
             d = int(live[t])
             e = model.emit[grid[t, :d]]
@@ -196,16 +233,21 @@ def expected_counts(seqs: list[np.ndarray], model: Model) -> Counts:
             alphas.append(a)
             emits.append(e)
             scales.append(s)
-        beta = np.ones((int(live[-1]), k))
-        gammas = [alphas[-1] * beta]
-        for t in range(steps - 2, -1, -1):
-            back = (emits[t + 1] * beta) / scales[t + 1]
-            out.move += (alphas[t][: len(back)].T @ back) * model.move
-            beta = np.ones((int(live[t]), k))
-            beta[: len(back)] = back @ model.move.T
+        beta = np.empty((0, k))
+        gammas = []
+        for t in range(steps - 1, -1, -1):
+            done = len(beta)
+            if done:
+                back = (emits[t + 1] * beta) / scales[t + 1]
+                out.move += (alphas[t][:done].T @ back) * model.move
+            beta = after[: int(live[t])] / (alphas[t] * after[: int(live[t])]).sum(1, keepdims=True)  # of pieces that end here
+            if done:
+                beta[:done] = back @ model.move.T
             gammas.append(alphas[t] * beta)
         gammas.reverse()
         out.start += gammas[0][first].sum(0)
+        back = (emits[0] * beta) / scales[0]
+        out.move += (before[~first].T @ back[~first]) * model.move  # transitions over the cuts
         gamma = np.concatenate(gammas)
         flat = np.concatenate([grid[t, : int(live[t])] for t in range(steps)])
         for j in range(k):
@@ -283,8 +325,32 @@ def _partial_counts(shared):
     return run
 
 
-def _add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"part": [int(key[0])], "sums": [sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["sums"]).tobytes()]})
+def _add_up(given: str):
+    """Sums of the rows of each part, held as one array of doubles for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist()):
+                x = np.frombuffer(sums, given).astype(np.float64)
+                total[part] = total[part] + x if part in total else x
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "sums"])
+
+    return run
+
+
+def _trained(train: DataFrame, model: Model, prior: np.ndarray, rounds: int) -> Model:
+    """``rounds`` rounds of Baum-Welch over all rows of ``train`` (syms binary). Sums are made in two steps, so that no
+    task gets a row of every other."""
+    schema, states = "part int, sums binary", len(model.start)
+    for _ in range(rounds):
+        parts = map_batches(train.select("syms"), _partial_counts(train.sparkSession.sparkContext.broadcast(model)), schema)
+        some = map_batches(parts.withColumn("salt", F.spark_partition_id() % 64).repartition("part", "salt").drop("salt"), _add_up("<f4"), schema)
+        of = {r["part"]: np.frombuffer(r["sums"], np.float64) for r in map_batches(some.repartition("part"), _add_up("<f8"), schema).collect()}
+        emit = np.concatenate([of[i].reshape(states, _RANGE) for i in range(SYMBOLS // _RANGE)], 1)
+        model = maximise(Counts(of[-1][:states], of[-1][states:].reshape(states, states), emit), prior)
+    return model
 
 
 def _forward(shared):
@@ -308,12 +374,11 @@ def score_texts(docs: DataFrame, *, states: int = 8, rounds: int = 2, seed_piece
     under the add-one unigram model and under the hidden Markov model.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     if held_out is None:
         held_out = F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 7 == 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
-    counts = save(rows.where(~F.col("held_out")).select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = save(map_batches(rows.where(~F.col("held_out")).select("text"), _count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(total["n"] or 0), int(total["v"])
     symbol = F.when(F.col("word") == -1, END_SYMBOL).otherwise(F.least(F.shiftrightunsigned("word", 64 - SYMBOL_BITS), F.lit(END_SYMBOL - 1)))
@@ -329,10 +394,10 @@ def score_texts(docs: DataFrame, *, states: int = 8, rounds: int = 2, seed_piece
     shared = spark.sparkContext.broadcast((word[order].tobytes(), common["n"].to_numpy(np.int64)[order].tobytes()))
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    coded = save(numbered.mapInArrow(_encode(shared), "row long, doc_id long, held_out boolean, n_tokens long, common_known long, common_log double, syms binary, rare array<long>"), "coded")
+    coded = save(map_batches(numbered, _encode(shared), "row long, doc_id long, held_out boolean, n_tokens long, common_known long, common_log double, syms binary, rare array<long>"), "coded")
     train = coded.where(~F.col("held_out"))
 
-    step = 2 * PIECE  # bytes
+    step = 2 * SEED  # bytes
     n_pieces = F.ceil(F.octet_length("syms") / F.lit(step)).cast("int")  # one at least: a text has its end token
     cut = F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda i: F.substring("syms", i * step + 1, F.lit(step)))
     pieces = train.select("doc_id", "row", F.posexplode(cut).alias("nth", "syms")).select("syms", F.xxhash64("doc_id", "row", "nth").alias("o"))
@@ -342,15 +407,11 @@ def score_texts(docs: DataFrame, *, states: int = 8, rounds: int = 2, seed_piece
     sample = [np.frombuffer(r["syms"], np.uint16) for r in first]
     for _ in range(seed_rounds if sample else 0):
         model = maximise(expected_counts(sample, model), prior, 20.0)
-    for _ in range(rounds if sample else 0):
-        parts = train.select("syms").mapInArrow(_partial_counts(spark.sparkContext.broadcast(model)), "part int, sums binary").groupBy("part").applyInPandas(_add_up, "part int, sums binary").collect()
-        of = {r["part"]: np.frombuffer(r["sums"], np.float64) for r in parts}
-        emit = np.concatenate([of[i].reshape(states, _RANGE) for i in range(SYMBOLS // _RANGE)], 1)
-        model = maximise(Counts(of[-1][:states], of[-1][states:].reshape(states, states), emit), prior)
+    model = _trained(train, model, prior, rounds if sample else 0)
 
     hidden = coded.select("row", "doc_id", "held_out", "n_tokens", "common_known", "common_log", "syms")
-    hidden = hidden.mapInArrow(_forward(spark.sparkContext.broadcast((model, shares))), "row long, doc_id long, held_out boolean, n_tokens long, common_known long, common_log double, hidden double")
-    rare = coded.select("row", F.explode("rare").alias("word")).join(counts.where(F.col("n") < least).hint("shuffle_hash"), "word")
+    hidden = map_batches(hidden, _forward(spark.sparkContext.broadcast((model, shares))), "row long, doc_id long, held_out boolean, n_tokens long, common_known long, common_log double, hidden double")
+    rare = coded.select("row", F.explode("rare").alias("word")).join(counts.where(F.col("n") < least), "word")
     rare = rare.groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 1)).alias("rare_log"))
     logs = F.col("common_log") + F.coalesce("rare_log", F.lit(0.0))
     return hidden.join(rare, "row", "left").select(

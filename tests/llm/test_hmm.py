@@ -68,6 +68,75 @@ def test_blocks_equal_plain_recursion():
     assert hmm.log_likelihood([s, s[:3]], m)[0] == pytest.approx(log, rel=1e-10)
 
 
+def plain_counts(seqs, m):
+    """Forward-backward of each whole sequence by itself."""
+    k = len(m.start)
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, hmm.SYMBOLS))
+    for s in seqs:
+        alpha, scale = [], []
+        for t, x in enumerate(s.tolist()):
+            a = (m.start if t == 0 else alpha[-1] @ m.move) * m.emit[x]
+            scale.append(a.sum())
+            alpha.append(a / a.sum())
+        beta = np.ones(k)
+        for t in range(len(s) - 1, -1, -1):
+            gamma = alpha[t] * beta
+            emit[:, s[t]] += gamma
+            if t:
+                move += np.outer(alpha[t - 1], m.emit[s[t]] * beta / scale[t]) * m.move
+                beta = m.move @ (m.emit[s[t]] * beta) / scale[t]
+        start += gamma
+    return start, move, emit
+
+
+def test_counts_of_long_sequences_are_those_of_the_whole(monkeypatch):
+    m = tiny(3, 2)
+    r = np.random.default_rng(4)
+    for piece, lengths in ((7, [1, 6, 7, 8, 14, 15, 50, 3]), (hmm.PIECE, [hmm.PIECE, 2 * hmm.PIECE + 13, 30])):
+        monkeypatch.setattr(hmm, "PIECE", piece)
+        seqs = [r.integers(0, 40, n).astype(np.uint16) for n in lengths]
+        got = hmm.expected_counts(seqs, m)
+        for have, want in zip((got.start, got.move, got.emit), plain_counts(seqs, m)):
+            assert np.allclose(have, want, rtol=1e-8, atol=1e-9)
+
+
+def test_whole_corpus_against_a_dictionary_model(spark, monkeypatch):
+    """Training rounds and scores from the texts' words, by plain loops over a dictionary of words."""
+    r = np.random.default_rng(1)
+    vocab = [f"w{i}" for i in range(60)]
+    texts = {d: " ".join(r.choice(vocab[:30] if d % 2 else vocab[20:], int(n))) for d, n in enumerate([*r.integers(1, 80, 50), 2600, 5000])}
+    seen = {}
+
+    def trained(train, model, prior, rounds, real=hmm._trained):
+        seen["first"], seen["prior"], seen["last"] = model, prior, real(train, model, prior, rounds)
+        return seen["last"]
+
+    monkeypatch.setattr(hmm, "_trained", trained)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    out = {x["doc_id"]: x for x in hmm.score_texts(df, states=3, rounds=2, seed_pieces=10).collect()}
+    symbol = lambda t: hmm.END_SYMBOL if t is None else int(hmm.symbols_of(hmm.hash_words([t.encode()])[0])[0])
+    coded = {d: np.array([symbol(t) for t in toks(x)], np.uint16) for d, x in texts.items()}
+    kept = [s for d, s in coded.items() if not hmm.crc_held_out(d)]
+    model = seen["first"]
+    for _ in range(2):
+        model = hmm.maximise(hmm.Counts(*plain_counts(kept, model)), seen["prior"])
+    for have, want in zip((seen["last"].start, seen["last"].move, seen["last"].emit), (model.start, model.move, model.emit)):
+        assert np.allclose(have, want, rtol=1e-4, atol=1e-9)
+    count = Counter(t for d, x in texts.items() if not hmm.crc_held_out(d) for t in toks(x))
+    size = Counter({symbol(None): 0})
+    for t, n in count.items():
+        size[symbol(t)] += n + 1
+    for d, x in texts.items():
+        v, log = None, 0.0
+        for t in toks(x):
+            s = symbol(t)
+            share = (count[t] + 1) / (size[s] + 1)
+            v = (seen["last"].start if v is None else v @ seen["last"].move) * seen["last"].emit[s] * share
+            log += math.log10(v.sum())
+            v = v / v.sum()
+        assert out[d]["score"] == pytest.approx(log, rel=1e-6), d
+
+
 def test_baum_welch_counts_and_progress():
     m = tiny(2, 5)
     s = np.array([4, 9, 4, 4], np.uint16)
