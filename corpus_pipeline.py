@@ -2,6 +2,12 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and is the next one's ``docs``.
 All but the last keep the columns of ``documents``.
+
+Defined cases, for every stage: rows are told apart by themselves, so null and repeated ids change nothing; a null text
+is as good as an empty one, which is no one's copy, holds neither benchmark passages nor personal data, stays null in
+all stages but the last, and is packed as its end token; a repeated row is judged like the first, and near duplicates
+keep one row of equal texts; texts are taken whole, however long; extra columns are kept, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import costpack, occurrence, pii, tiling, toxicity
 from millrace.llm.queries import table
-from millrace.llm.scratch import save
+from millrace.llm.scratch import discard, save
 from millrace.llm.wordids import word_tokenizer
 
 
@@ -50,7 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = save(docs, "stage")
-    return docs
+        made = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return made
+        before, docs = docs, save(made, "stage")
+        discard(before, made)  # all that reads them has run

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm.bitmaps import BITMAP_BITS, bitmap_of, marked, positions
 from millrace.llm.components import components
 from millrace.llm.grouped import over_groups
-from millrace.llm.scratch import discard, map_batches, save, unused
+from millrace.llm.scratch import discard, map_batches, resting_on, save, unused
 from millrace.llm.wordhash import shingle_sets, text_slices
 
 #: A shingle in more prefixes than this is marked as frequent; marked ones are ordered last.
@@ -257,7 +257,7 @@ def _ship(k: int, bits):
 def _classes(texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """texts: (doc_id long, text string). Returns two tables that outlive the call.
 
-    The first has (doc_id, n_shingles, set_key) of each row, the second (set_key, least) of each set of a row with an id:
+    The first has (doc_id, n_shingles, set_key, head) of each row, the second (set_key, least) of each set of a row with an id:
     the least id in the set's component.
     """
     spark = texts.sparkSession
@@ -294,7 +294,7 @@ def _classes(texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     of_linked = linked.join(least, "root").select("set_key", "least")
     led = save(of_key.join(of_linked, "set_key", "left").select("set_key", F.coalesce("least", "rep").alias("least")), "led")
     discard(of_key, held, linked, least)
-    return profile.select("doc_id", "n_shingles", "set_key"), led
+    return profile, led
 
 
 def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +305,8 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 8, den: in
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile, led = _classes(texts, words, num, den)
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return profile.join(led, "set_key", "left").select("doc_id", "n_shingles", found.alias("component_id"))
+    out = profile.select("doc_id", "n_shingles", "set_key").join(led, "set_key", "left").select("doc_id", "n_shingles", found.alias("component_id"))
+    return resting_on(out, profile, led)
 
 
 def _id_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,4 +326,4 @@ def keep_one(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10, te
     profile, led = _classes(texts, words, num, den)
     first = led.select(F.col("least").alias(row)).distinct()
     blank = profile.where(F.col("set_key").isNull()).select(F.col("doc_id").alias(row))
-    return numbered.join(first.unionByName(blank), row, "left_semi").select(*docs.columns)
+    return resting_on(numbered.join(first.unionByName(blank), row, "left_semi").select(*docs.columns), numbered, profile, led)

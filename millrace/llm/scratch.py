@@ -74,12 +74,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def discard(*saved: DataFrame) -> None:
-    """Removes tables that ``save`` gave, once all that reads them has run."""
-    for df in saved:
+def resting_on(df: DataFrame, *saved: DataFrame) -> DataFrame:
+    """``df``, marked as a plan that reads tables of ``save``: ``discard(df)`` removes them."""
+    df._millrace_reads = saved
+    return df
+
+
+def discard(*done: DataFrame) -> None:
+    """Removes tables that ``save`` gave, and those that marked plans read, once all that reads them has run."""
+    for df in done:
         path = getattr(df, "_millrace_path", None)
         if path:
             _remove(df.sparkSession, path)
+        discard(*getattr(df, "_millrace_reads", ()))
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -72,6 +72,34 @@ def test_both_are_lossless_and_within_bounds(lengths, width):
             assert len(seq) <= -(-sum(lengths) // width)
 
 
+def balance_scan(lengths, width):
+    """The longest piece goes to the cheapest sequence that holds it; where none does, the emptiest takes what it can."""
+    n = -(-sum(lengths) // width)
+    left, cost, out = [width] * n, [0.0] * n, []
+    pieces = [(x, i, 0) for i, x in enumerate(lengths) if x]
+    while pieces:
+        length, item, start = piece = min(pieces, key=lambda p: (-p[0], p[1], p[2]))
+        pieces.remove(piece)
+        if length > width:
+            pieces += [(width, item, start), (length - width, item, start + width)]
+            continue
+        fits = [s for s in range(n) if left[s] >= length]
+        s = min(fits, key=lambda s: (cost[s], s)) if fits else min(range(n), key=lambda s: (-left[s], s))
+        take = min(length, left[s])
+        if take < length:
+            pieces.append((length - take, item, start + take))
+        out.append((item, start, take, s, width - left[s]))
+        left[s] -= take
+        cost[s] += costpack.LINEAR * take + costpack.QUADRATIC * take * take
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 70), max_size=40), st.integers(1, 33))
+def test_balance_against_scanning(lengths, width):
+    assert costpack.balance(lengths, width) == balance_scan(lengths, width)
+
+
 def test_costs_are_balanced():
     r = random.Random(0)
     lengths = [r.choice([30, 100, 300, 900, 2000]) for _ in range(3000)]
@@ -124,6 +152,13 @@ def test_edges(spark):
     check_pieces(EDGES, costpack.pack(df, word_tokenizer()).collect())
     assert costpack.pack(df.limit(0), word_tokenizer()).collect() == []
     assert bestfit.pack(df.limit(0), word_tokenizer()).collect() == []
+    parts = defaultdict(list)
+    for r in bestfit.pack(df, word_tokenizer(), width=1024).collect():
+        x = np.frombuffer(r["input_ids"], "<u2")
+        for d, s, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            parts[d].append((s, x[a:b].tolist()))
+    whole = lambda t: [(i, p) for i, p in ((i, ids(t)[i : i + 1024]) for i in range(0, len(ids(t)), 1024))]
+    assert {d: sorted(p) for d, p in parts.items()} == {d: sorted(q for e, t in EDGES if e == d for q in whole(t)) for d, _ in EDGES}
 
 
 def test_matrices_give_back_every_document(spark, sf, tmp_path):
