@@ -8,6 +8,9 @@ Plain spans stay as they are; a disguised one counts if it uses a rewritten char
 Matches of each kind are leftmost and don't overlap; those that fail their test are dropped without a retry. Every
 search is linear in the text, long runs included.
 
+Not found, by design: a spoken "at" before a domain without a disguised dot ("jane at example.com", which "look at
+example.com" could be as well), digits of other languages in words, and identifiers cut by line ends.
+
 Defined cases: a null text is empty; repeated rows are searched each; extra columns are ignored; an empty table gives
 no rows.
 """
@@ -156,8 +159,11 @@ def rewritten(text: str) -> Tape:
     return tape
 
 
-def find_all(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """(plain spans, all spans) of each kind, in order of their start."""
+def find_all(text: str | None, wider: bool = False) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
+    """(plain spans, all spans) of each kind, in order of their start.
+
+    ``wider``: disguised spans that meet a plain one of their kind and reach beyond it are given as well.
+    """
     text = text or ""
     base = find(text)
     everything = {k: list(v) for k, v in base.items()}
@@ -171,7 +177,8 @@ def find_all(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[s
                     i += 1
                 clear = i == len(plain) or end <= plain[i][0]
                 # a character may also have gone (an invisible one), so that the match is shorter than its source
-                if clear and (end - start > b - a or any(tape.new[a:b])):
+                beyond = wider and not clear and (start < plain[i][0] or end > plain[i][1])
+                if (clear or beyond) and (end - start > b - a or any(tape.new[a:b])):
                     everything[kind].append((start, end))
             everything[kind].sort()
     return base, everything
@@ -196,8 +203,11 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 
 def mask_text(text: str) -> str:
-    """``text`` with each span replaced by its kind in brackets; of overlapping spans the first, then the longest, counts."""
-    _, every = find_all(text)
+    """``text`` with each span replaced by its kind in brackets; of overlapping spans the first, then the longest, counts.
+
+    Where a disguise reaches beyond a plain identifier ("john dot smith@example.com"), all of it goes.
+    """
+    _, every = find_all(text, wider=True)
     parts, at = [], 0
     for a, _, kind, b in sorted((a, -b, k, b) for k in KINDS for a, b in every[k]):
         if a >= at:

@@ -106,3 +106,26 @@ def test_edges_and_mask(spark):
     assert sorted(map(tuple, mask(df).collect()), key=str) == sorted([(1, None, None, "x"), (1, "", 0, "x"), (1, "", 0, "x"), (None, "[email] or [phone]", 18, "x")], key=str)
     assert find_pii(df.limit(0)).collect() == [] and mask(df).columns == df.columns
     assert mask_text("no data") == "no data"
+
+
+def test_a_disguise_beyond_a_plain_part_is_masked_whole():
+    text = "write john dot smith@example.com or plain@example.org"
+    base, every = find_all(text)
+    assert [text[a:b] for a, b in every["email"]] == ["smith@example.com", "plain@example.org"] and every == base
+    assert mask_text(text) == "write [email] or [email]"
+    assert mask_text("jane@mail.example dot com!") == "[email]!"
+
+
+def test_single_spelled_digits_and_plus_signs():
+    only("call plus 1 555 234 6789 now", "phone", "plus 1 555 234 6789")
+    only("call plus 15552346789", "phone", "plus 15552346789")
+    only("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one")
+    only("host 10.two.3.4", "ip", "10.two.3.4")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["plus ", "one", "two ", "4", "11", ".", " ", "-", "@", "a", "at ", " dot ", "[at]", "x.com", "é", "\n"]), max_size=24), st.sampled_from(["", "anecdote ", " nothing else"]))
+def test_found_spans_do_not_depend_on_other_words(parts, other):
+    text = "".join(parts)
+    got, more = find_all(text)[1], find_all(text + "\n" + other)[1]
+    assert got == {k: [s for s in v if s[1] <= len(text)] for k, v in more.items()}
