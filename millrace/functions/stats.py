@@ -19,11 +19,9 @@ def sample_std(x: Column) -> Column:
     return F.coalesce(F.stddev_samp(x), F.lit(0.0))
 
 
-def correlation(x: Column, y: Column, least: int = 3) -> Column:
-    """Pearson's r of rows with both values; null for fewer than ``least`` or without variance."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    return F.when(F.count(a) >= least, F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b))))
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson's r as an aggregate; null without variance."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
 
 
 def two_proportion_z(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:

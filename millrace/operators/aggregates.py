@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +40,28 @@ def list_contexts(trace: DataFrame) -> DataFrame:
     return trace.groupBy(*CONTEXT).agg(F.count_distinct(F.struct(*RUN)).alias("wafer_runs"), F.count("*").alias("samples"))
 
 
+def per_signal(trace: DataFrame, keys: list[str], signals: list[str], measures: Callable[[Column, Column], dict[str, Column]], count: str, at_once: int = 24) -> DataFrame:
+    """(keys, signal, measures) of each group and signal that has a value there.
+
+    measures: from a signal's values and the times of those to aggregates by name; ``count`` names the number of values.
+    Signals are aggregated side by side, ``at_once`` in a scan of their columns, so a sample is one row up to the
+    aggregate, whatever the number of signals; only the aggregates become a row for each signal.
+    """
+    out = None
+    for lo in range(0, len(signals), at_once):
+        some = signals[lo : lo + at_once]
+        of = {s: F.col(s).cast("double") for s in some}
+        sums = trace.groupBy(*keys).agg(*(F.struct(*(c.alias(n) for n, c in measures(v, F.when(v.isNotNull(), F.col("processed_time"))).items())).alias(s) for s, v in of.items()))
+        entries = F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("m")) for s in some))
+        rows = sums.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.signal", "e.m.*").where(F.col(count) > 0)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def run_points(trace: DataFrame, signals: list[str]) -> DataFrame:
     """A chart point for each context, signal and run: first time, mean, spread and number of samples."""
-    v = F.col("v")
-    points = long_signals(trace, signals).groupBy(*CONTEXT, "signal", *RUN).agg(F.min("processed_time").alias("time"), F.avg(v).alias("value"), sample_std(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("samples"))
-    return points.where(F.col("value").isNotNull())
+    measures = lambda v, t: {"time": F.min(t), "value": F.avg(v), "std": sample_std(v), "min": F.min(v), "max": F.max(v), "samples": F.count(v)}
+    return per_signal(trace, [*CONTEXT, *RUN], signals, measures, "samples").select(*CONTEXT, "signal", *RUN, "time", "value", "std", "min", "max", "samples")
 
 
 def run_matrix(trace: DataFrame, signals: list[str]) -> DataFrame:
@@ -59,10 +78,15 @@ def dataset_summary(trace: DataFrame) -> DataFrame:
     return trace.agg(F.count("*").alias("samples"), distinct("lot").alias("lots"), distinct(*RUN).alias("wafers"), distinct("recipe").alias("recipes"), distinct("stage").alias("stages"), distinct("system_label").alias("chambers"))
 
 
-def signal_stats(trace: DataFrame, signals: list[str]) -> DataFrame:
-    """Of each signal: values, range, distinct values, and whether it is a flag (at most two values, all of them 0 or 1)."""
-    v = F.col("v")
-    stats = long_signals(trace, signals).groupBy("signal").agg(F.count(v).alias("non_null"), F.min(v).alias("min_val"), F.max(v).alias("max_val"), F.count_distinct(v).alias("distinct_vals"))
+def signal_stats(trace: DataFrame, signals: list[str], exact: bool = False) -> DataFrame:
+    """Of each signal: values, range, distinct values, and whether it is a flag (at most two values, all of them 0 or 1).
+
+    Distinct values are estimated (one pass, no shuffle of values; small numbers come out exact) unless ``exact``. A signal
+    without a value has no row.
+    """
+    distinct = F.count_distinct if exact else F.approx_count_distinct
+    measures = lambda v, t: {"non_null": F.count(v), "min_val": F.min(v), "max_val": F.max(v), "distinct_vals": distinct(v)}
+    stats = per_signal(trace, [], signals, measures, "non_null")
     flag = (F.col("distinct_vals") <= 2) & (F.col("min_val") >= 0) & (F.col("max_val") <= 1)
     return stats.withColumn("is_flag", F.coalesce(flag, F.lit(False)))
 
@@ -77,6 +101,7 @@ def _indicators(v: Column, t: Column) -> dict[str, Column]:
     first, last = F.min_by(v, t), F.max_by(v, t)
     exact = F.unix_micros(t.cast("timestamp")).cast("double") / F.lit(1e6).cast("double")
     return {
+        "start_time": F.min(t), "q": F.percentile(v, F.array(*(F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)))),
         "mean": F.avg(v), "start_val": first, "end_val": last, "std": sample_std(v), "min_val": F.min(v), "max_val": F.max(v), "range_val": F.max(v) - F.min(v),
         "rms": F.sqrt(F.avg(v * v)), "slope": F.coalesce(F.regr_slope(v, exact), F.lit(0.0)), "area": F.sum(v), "overshoot": F.max(v) - F.avg(v), "undershoot": F.avg(v) - F.min(v),
         "rate_of_change": F.try_divide(last - first, F.nullif(seconds, F.lit(0.0).cast("double"))), "n_samples": F.count(v), "step_duration_s": seconds,
@@ -93,14 +118,12 @@ def assert_indicator(name: str) -> str:
 
 
 def indicators(trace: DataFrame, signals: list[str]) -> DataFrame:
-    """All indicators for each run, context, chamber and signal: one scan and one shuffle for all signals."""
-    v, t = F.col("v"), F.col("processed_time")
-    keys = [*RUN, *CONTEXT, "system_label", "signal"]
-    q = F.percentile(v, F.array(*(F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)))).alias("q")
-    out = long_signals(trace, signals).groupBy(*keys).agg(F.min(t).alias("start_time"), q, *(c.alias(n) for n, c in _indicators(v, t).items()))
+    """All indicators for each run, context, chamber and signal: signals are aggregated side by side."""
+    keys = [*RUN, *CONTEXT, "system_label"]
+    out = per_signal(trace, keys, signals, _indicators, "n_samples", 8)
     at = lambda i: F.col("q")[i]
     out = out.withColumns({"p05": at(0), "median": at(2), "p95": at(4), "robust_std": F.coalesce((at(3) - at(1)) / F.lit(1.349), F.lit(0.0))})
-    return out.select(*keys, "start_time", *INDICATORS)
+    return out.select(*keys, "signal", "start_time", *INDICATORS)
 
 
 def indicator_points(table: DataFrame, indicator: str = DEFAULT_INDICATOR) -> DataFrame:
@@ -119,3 +142,13 @@ def signal_trace(trace: DataFrame, lot: str, wafer_no: str, step: int, signals:
         raise ValueError("one to six signals")
     found = trace.where((F.col("lot") == lot) & (F.col("wafer_no") == wafer_no) & (F.col("recipe_step_num") == step))
     return found.select(F.date_format("processed_time", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("time"), *signals).orderBy("time")
+
+
+def selector(trace: DataFrame, levels: list[str], chosen: dict[str, object] | None = None) -> DataFrame:
+    """The values to choose from at the first of ``levels`` (recipe, stage, step; lot, wafer, step) that isn't chosen yet."""
+    chosen = chosen or {}
+    for level in levels:
+        if level not in chosen:
+            return trace.select(level).where(F.col(level).isNotNull()).distinct().orderBy(level)
+        trace = trace.where(F.col(level) == chosen[level])
+    raise ValueError("every level is chosen")

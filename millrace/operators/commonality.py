@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.signals import context_key
-from millrace.functions.stats import finite, two_proportion_z
+from millrace.functions.stats import finite, pearson, two_proportion_z
 
 DIMENSIONS = ["recipe", "stage", "step", "chamber", "lot", "date"]
 MIN_GROUP = 4
 
 
-def commonality_rows(indicators: DataFrame, signal: str, indicator: str, recipe: str | None = None) -> DataFrame:
-    """The values of one signal's indicator with the dimensions of each, keys kept on the row."""
-    df = indicators.where((F.col("signal") == signal) & finite(F.col(indicator)))
+def commonality_rows(indicators: DataFrame, signal: str | None, indicator: str, recipe: str | None = None) -> DataFrame:
+    """The values of a signal's indicator with the dimensions of each, keys kept on the row.
+
+    Without a signal, those of all signals; each is a context of its own then.
+    """
+    df = indicators.where(finite(F.col(indicator)))
+    if signal is not None:
+        df = df.where(F.col("signal") == signal)
     if recipe is not None:
         df = df.where(F.col("recipe") == recipe)
     return df.select(
-        context_key(F.col("recipe"), F.col("stage"), F.col("recipe_step_num")).alias("context"), F.col(indicator).alias("value"), "lot", "wafer_no", "start_time",
+        context_key(F.col("recipe"), F.col("stage"), F.col("recipe_step_num"), F.col("signal") if signal is None else None).alias("context"), F.col(indicator).alias("value"), "lot", "wafer_no", "start_time",
         "recipe", "stage", F.col("recipe_step_num").cast("string").alias("step"), F.col("system_label").alias("chamber"), F.date_format("start_time", "yyyy-MM-dd").alias("date"),
     )
 
@@ -57,6 +62,11 @@ def findings(marked: DataFrame, dimensions: list[str] | None = None, min_support
     return df.withColumn("significant", F.abs("z") >= 1.96).drop("n_bad", "n_good").orderBy(F.desc("ratio_gap"), F.desc(F.abs("z")), "dimension", "value")
 
 
+def top_findings(found: DataFrame, n: int = 15) -> DataFrame:
+    """The values with the largest surplus among bad rows."""
+    return found.where(F.col("ratio_gap") > 0).orderBy(F.desc("ratio_gap"), F.desc(F.abs("z")), "dimension", "value").limit(n)
+
+
 def top_anomalies(marked: DataFrame, n: int = 50) -> DataFrame:
     return marked.where("is_bad").orderBy(F.desc(F.abs("z")), "context", "lot", "wafer_no").limit(n)
 
@@ -71,8 +81,7 @@ def yield_correlations(points: DataFrame, quality: DataFrame, response: str, lea
     """Pearson's r between each signal's values and a quality response, in each context; strongest first."""
     keys = ["recipe", "stage", "recipe_step_num", "signal"]
     x, y = F.col("value"), F.col("response")
-    r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
-    df = yield_pairs(points, quality, response).where(finite(x)).groupBy(*keys).agg(r.alias("r"), F.count("*").alias("n"))
+    df = yield_pairs(points, quality, response).where(finite(x)).groupBy(*keys).agg(pearson(x, y).alias("r"), F.count("*").alias("n"))
     return df.where(F.col("n") >= least).orderBy(F.desc_nulls_last(F.abs("r")), *keys)
 
 

@@ -68,11 +68,39 @@ def equipment_runs(trace: DataFrame, on_time: str | None = None) -> DataFrame:
     return trace.groupBy("lot", "wafer_no").agg(F.min("recipe").alias("recipe"), F.unix_millis(F.min(t)).alias("start_ms"), F.unix_millis(F.max(t)).alias("end_ms"), used.alias("on_time"))
 
 
-def downsample(df: DataFrame, order: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows, at positions floor(i * n / most) of the order."""
-    n = df.count()
+def downsample(df: DataFrame, order: list[str], most: int, buckets: int = 64) -> DataFrame:
+    """At most ``most`` rows, at positions floor(i * n / most) of the order. The first order column must be a number.
+
+    Rows are dealt into ranges of the first column; a row's position is its place in its range after all earlier ranges,
+    so no task sorts them all. A null comes first.
+    """
+    first = F.col(order[0])
+    bounds = sorted(set(df.approxQuantile(order[0], [i / buckets for i in range(1, buckets)], 0.005)))
+    bucket = F.coalesce(sum(((first > b).cast("int") for b in bounds), F.lit(0)), F.lit(0))
+    dealt = df.withColumn("__bucket", bucket)
+    sizes = {r["__bucket"]: r["count"] for r in dealt.groupBy("__bucket").count().collect()}  # a few rows
+    n, before, offsets = sum(sizes.values()), 0, []
+    for b in sorted(sizes):
+        offsets.append((b, before))
+        before += sizes[b]
     if n <= most:
         return df
-    ranked = df.withColumn("__at", F.row_number().over(Window.orderBy(*order)) - 1)
-    wanted = df.sparkSession.range(most).select(F.floor(F.col("id") * n / most).cast("int").alias("__at"))
-    return ranked.join(F.broadcast(wanted), "__at", "left_semi").drop("__at")
+    at = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1
+    ranked = dealt.withColumn("__nth", at).join(F.broadcast(df.sparkSession.createDataFrame(offsets, "__bucket int, __before long")), "__bucket")
+    wanted = df.sparkSession.createDataFrame([(i * n // most,) for i in range(most)], "__at long")
+    return ranked.withColumn("__at", F.col("__nth") + F.col("__before")).join(F.broadcast(wanted), "__at", "left_semi").select(*df.columns)
+
+
+def recent_runs(runs: DataFrame, most: int = 60) -> DataFrame:
+    """The latest runs with their start as text and their length."""
+    length = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
+    return runs.orderBy(F.desc("start_ms"), "lot", "wafer_no").limit(most).select("lot", "wafer_no", "recipe", iso_millis(F.col("start_ms")).alias("start"), length.alias("duration_ms"))
+
+
+def downtimes(gaps: DataFrame, most: int = 10) -> DataFrame:
+    """The longest gaps that count as downtime."""
+    return gaps.where("is_downtime").orderBy(F.desc("gap_ms"), "gap_start_ms").limit(most).select(iso_millis(F.col("gap_start_ms")).alias("start"), F.col("gap_ms").alias("duration_ms"))
+
+
+def iso_millis(ms: Column) -> Column:
+    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss")

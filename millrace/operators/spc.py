@@ -7,10 +7,14 @@ no join leads back to the points.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import explain
 from millrace.functions.stats import D2, sample_std, skewness
+from millrace.operators.aggregates import run_points
 
 KEYS = ["recipe", "stage", "recipe_step_num", "signal"]
 ORDER = ["time", "lot", "wafer_no"]
@@ -81,6 +85,7 @@ def baseline_limits(points: DataFrame) -> DataFrame:
     return with_limits(df).withColumn("insufficient", F.col("n") < BASELINE)
 
 
+# fixed values: names of the zone rules, in order
 RULES = ["beyond_3sigma", "two_of_three_2sigma", "four_of_five_1sigma", "eight_in_row_side"]
 
 
@@ -121,25 +126,28 @@ def chart_status(limited: DataFrame) -> DataFrame:
     return df.withColumn("status", F.when(F.col("alarms") > 0, "violation").when(F.col("warns") > 0, "warning").otherwise("in_control"))
 
 
+# fixed values: weight and limit width of the EWMA chart, slack and limit of the CUSUM chart
 LAMBDA, EWMA_L, CUSUM_K, CUSUM_H = 0.2, 3.0, 0.5, 5.0
 
 
 def ewma_chart(limited: DataFrame, lam: float = LAMBDA, width: float = EWMA_L) -> DataFrame:
     """Exponentially weighted means with their time-varying limits.
 
-    z_t = (1-l)^(t+1) CL + l * sum of (1-l)^(t-i) x_i. The sum is a window over scaled values while the scale stays in
-    range; each row therefore adds at most ``reach`` earlier points, beyond which the weight is under 1e-16.
+    z_t = (1-l)^(t+1) CL + l * sum of (1-l)^(t-i) x_i. Points are cut into blocks of ``reach``, over which a weight falls
+    below 1e-17: the sum is a prefix sum of scaled values within the block and what the block before leaves, so each point
+    costs the same whatever the series' length.
     """
-    import math
-
     keep = 1.0 - lam
     reach = max(1, math.ceil(math.log(1e-17) / math.log(keep)))
     x, c, t = F.col("x"), F.col("center_line"), F.col("idx")
-    near = F.collect_list(x - c).over(_frame(reach))
-    # newest last: weights lam * keep^(age)
-    weighted = F.aggregate(near, F.lit(0.0), lambda acc, v: acc * keep + v * lam)
+    at = t % reach
+    in_block = Window.partitionBy(*KEYS, F.floor(t / reach)).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    scaled = F.sum((x - c) * lam * F.pow(F.lit(keep), -at)).over(in_block)
+    df = limited.withColumn("own", F.pow(F.lit(keep), at) * scaled)
+    before = F.last(F.when(at == reach - 1, F.col("own")), ignorenulls=True).over(whole().orderBy(t).rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("weighted", F.col("own") + F.pow(F.lit(keep), at + 1) * F.coalesce(before, F.lit(0.0)))
     width_t = width * F.col("sigma") * F.sqrt(F.lit(lam / (2 - lam)) * (1 - F.pow(F.lit(keep), 2 * (t + 1))))
-    out = limited.select(*KEYS, "lot", "wafer_no", "time", "idx", "sigma", "center_line", (c + weighted).alias("statistic"), (c + width_t).alias("ucl"), (c - width_t).alias("lcl"))
+    out = df.select(*KEYS, "lot", "wafer_no", "time", "idx", "sigma", "center_line", (c + F.col("weighted")).alias("statistic"), (c + width_t).alias("ucl"), (c - width_t).alias("lcl"))
     beyond = (F.col("statistic") > F.col("ucl")) | (F.col("statistic") < F.col("lcl"))
     return out.withColumn("alarm", (F.col("sigma") > 0) & beyond).drop("sigma")
 
@@ -204,6 +212,7 @@ def diagnosis(points: DataFrame) -> DataFrame:
     recommended = F.when(F.col("autocorr_significant") | (F.col("trust") == "low"), "residual").when(F.col("change_point").isNotNull(), "cusum").otherwise("ewma")
     every = F.array(*map(F.lit, ("imr", "ewma", "cusum", "residual")))
     out = out.withColumn("recommended", recommended).withColumn("alternatives", F.array_except(every, F.array("recommended")))
+    out = out.withColumn("reason", explain.recommendation(F.col("autocorr_significant"), F.col("lag1"), F.col("trust"), F.col("ratio"), F.col("change_point")))
     return out.drop("m2", "m3", "top", "at")
 
 
@@ -246,16 +255,34 @@ def capability(points: DataFrame, spec: DataFrame | tuple[float | None, float |
     return df.withColumn("grade", grade)
 
 
-def risk_scan(points: DataFrame, contexts: DataFrame, top: int = 8) -> DataFrame:
-    """Keys of the ``top`` contexts (by runs) with broken rules, most alarms first: one job for all of them.
+def chosen_contexts(contexts: DataFrame, top: int) -> DataFrame:
+    """The ``top`` contexts by runs (wafer_runs, as from list_contexts)."""
+    return contexts.orderBy(F.desc("wafer_runs"), *KEYS[:3]).limit(top).select(*KEYS[:3])
+
+
+def scanned_charts(trace: DataFrame, signals: list[str], contexts: DataFrame, top: int = 8) -> DataFrame:
+    """Status of every chart of the ``top`` contexts (by runs) and ``signals``, one job for all of them.
 
-    points: of the key signals only. contexts: with wafer_runs (as from list_contexts); the chosen ones are few and bounded.
+    The chosen contexts are few and bounded; the trace is cut down to them before it is aggregated.
     """
-    chosen = contexts.orderBy(F.desc("wafer_runs"), *KEYS[:3]).limit(top).select(*KEYS[:3])
-    status = chart_status(with_own_limits(points.join(F.broadcast(chosen), KEYS[:3])))
+    part = trace.join(F.broadcast(chosen_contexts(contexts, top)), KEYS[:3], "left_semi")
+    return chart_status(with_own_limits(run_points(part, signals))).withColumn("insufficient", F.col("points") < BASELINE)
+
+
+def risk_scan(trace: DataFrame, signals: list[str], contexts: DataFrame, top: int = 8) -> DataFrame:
+    """The scanned charts with broken rules, most alarms first."""
+    status = scanned_charts(trace, signals, contexts, top)
     return status.where((F.col("alarms") > 0) | (F.col("warns") > 0)).orderBy(F.desc("alarms"), F.desc("warns"), *KEYS)
 
 
+def risk_summary(trace: DataFrame, signals: list[str], contexts: DataFrame, top: int = 8) -> DataFrame:
+    """One row: charts scanned (those without points included), with broken rules, with too few points; all alarms and warnings."""
+    status = scanned_charts(trace, signals, contexts, top)
+    sums = status.agg(F.count_if((F.col("alarms") > 0) | (F.col("warns") > 0)).alias("charts"), F.count_if("insufficient").alias("insufficient"), F.coalesce(F.sum("alarms"), F.lit(0)).alias("total_alarms"), F.coalesce(F.sum("warns"), F.lit(0)).alias("total_warns"))
+    scanned = chosen_contexts(contexts, top).agg((F.count("*") * len(signals)).alias("scanned"))
+    return sums.join(F.broadcast(scanned))  # one row each
+
+
 def adaptive(points: DataFrame) -> DataFrame:
     """The whole adaptive chart in one row for each key: frozen limits, diagnosis and broken rules."""
     status = chart_status(with_frozen_baseline(points)).drop("points")

@@ -26,10 +26,15 @@ def _trace(spark, sf):
     return b.trace(spark, sf)
 
 
-def _points(spark, sf, signals=("value",)):
+def _points(spark, sf, signals=b.TRACE_SIGNALS):
     return agg.run_points(b.trace(spark, sf), list(signals))
 
 
+def line_points(spark, sf):
+    """Points of all signals of lineitem: their number grows with the tables."""
+    return agg.run_points(b.line_trace(spark, sf), b.LINE_SIGNALS)
+
+
 def _indicators(spark, sf):
     return agg.indicators(b.trace(spark, sf), b.TRACE_SIGNALS)
 
@@ -53,30 +58,40 @@ def lot_types(spark, sf):
     return df.select("lot", names.wafer_type(F.col("lot")).alias("wafer_type"))
 
 
+def _line_contexts(t):
+    return t.groupBy(*CTX).agg(F.count_distinct(F.struct("lot", "wafer_no")).alias("wafer_runs"))
+
+
 def risk_scan(spark, sf):
     t = b.line_trace(spark, sf)
-    contexts = t.groupBy(*CTX).agg(F.count_distinct(F.struct("lot", "wafer_no")).alias("wafer_runs"))
-    return spc.risk_scan(agg.run_points(t, b.LINE_SIGNALS), contexts)
+    return spc.risk_scan(t, b.LINE_SIGNALS, _line_contexts(t))
+
+
+def risk_summary(spark, sf):
+    t = b.line_trace(spark, sf)
+    return spc.risk_summary(t, b.LINE_SIGNALS, _line_contexts(t))
 
 
 def yield_correlations(spark, sf):
-    points = agg.run_points(b.line_trace(spark, sf), b.LINE_SIGNALS)
-    return rounded(com.yield_correlations(points, b.quality(spark, sf), "yield_pct"))
+    return rounded(com.yield_correlations(line_points(spark, sf), b.quality(spark, sf), "yield_pct"))
 
 
 def yield_pairs(spark, sf):
-    points = agg.run_points(b.line_trace(spark, sf), ["l_quantity"])
-    return rounded(com.yield_pairs(points, b.quality(spark, sf), "defect_count").select(*CTX, "signal", "lot", "wafer_no", "value", "response"))
+    return rounded(com.yield_pairs(line_points(spark, sf), b.quality(spark, sf), "defect_count").select(*CTX, "signal", "lot", "wafer_no", "value", "response"))
 
 
 def marked(spark, sf):
-    return com.mark_anomalies(com.commonality_rows(_indicators(spark, sf), "value", "mean"), 2.0)
+    return com.mark_anomalies(com.commonality_rows(_indicators(spark, sf), None, "mean"), 2.0)
 
 
 def anomalies(spark, sf):
     return rounded(marked(spark, sf).where("is_bad").select("context", "lot", "wafer_no", "value", "median", "robust_sigma", "z"), 5)
 
 
+def diagnosis(spark, sf):
+    return rounded(spc.diagnosis(line_points(spark, sf)).withColumn("alternatives", F.concat_ws(",", "alternatives")))
+
+
 def _vectors(spark, sf):
     e = b.table(spark, sf, "embeddings")
     return e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("trace"))
@@ -88,8 +103,7 @@ def trace_envelope(spark, sf):
 
 def trace_deviation(spark, sf):
     v = _vectors(spark, sf)
-    base = v.where(F.col("vec_id") % 2 == 0)
-    return rounded(fdc.deviation(v, "vec_id", "trace", fdc.envelope(base, "trace", ["label"], 33, 2.0), ["label"], 33), 5)
+    return rounded(fdc.deviation(v, "vec_id", "trace", fdc.envelope(v, "trace", ["label"], 33, 2.0), ["label"], 33), 5)
 
 
 def trace_overlay(spark, sf):
@@ -97,21 +111,6 @@ def trace_overlay(spark, sf):
     return rounded(_iso(fdc.overlay(long, [*CTX, "lot", "wafer_no", "signal"]).withColumn("time", F.date_format("processed_time", "yyyy-MM-dd'T'HH:mm:ss.SSS")).drop("processed_time", "system_label")))
 
 
-def fdc_monitor(spark, sf):
-    m = agg.run_matrix(b.line_trace(spark, sf), b.LINE_SIGNALS)
-    return fdc.monitor(m, b.LINE_SIGNALS, CTX, ["time", "lot", "wafer_no"])
-
-
-def fdc_alarms(spark, sf):
-    return fdc.alarms(fdc_monitor(spark, sf))
-
-
-def dtw_distances(spark, sf):
-    v = _vectors(spark, sf)
-    goal = [r["center"] for r in fdc.envelope(v, "trace", [], 32).orderBy("pos").collect()]  # 32 rows
-    return fdc.dtw_to(v.withColumn("t", fdc.resample(F.col("trace"), 32)), "t", goal, 4).drop("trace", "t")
-
-
 def standardized(spark, sf):
     m = agg.run_matrix(b.line_trace(spark, sf), b.LINE_SIGNALS).drop("time")
     return rounded(fdc.standardize(m, b.LINE_SIGNALS, CTX), 5)
@@ -128,9 +127,8 @@ def equipment_report(spark, sf):
 
 
 def injected_faults(spark, sf):
-    df = _points(spark, sf).where("recipe = 'click'")
-    idx = F.row_number().over(Window.partitionBy(*CTX).orderBy("time", "lot", "wafer_no")) - 1
-    series = df.select(*CTX, idx.alias("idx"), "value")
+    idx = F.row_number().over(Window.partitionBy(*KEYS).orderBy("time", "lot", "wafer_no")) - 1
+    series = _points(spark, sf).select(*KEYS, idx.alias("idx"), "value")
     out = None
     for kind, m in (("shift", 1.0), ("drift", 0.1), ("spike", 4.0), ("variance", 2.0)):
         got = detectors.inject(series, kind, 60, m, 2.0).withColumn("kind", F.lit(kind))
@@ -150,24 +148,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "equipment_runs": lambda s, d: rounded(equipment.equipment_runs(_trace(s, d), "k")),
     "wafer_steps": lambda s, d: _iso(agg.wafer_steps(_trace(s, d)), "start_time"),
     "dataset_summary": lambda s, d: agg.dataset_summary(_trace(s, d)),
-    "signal_stats": lambda s, d: rounded(agg.signal_stats(_trace(s, d), b.TRACE_SIGNALS)),
-    "analog_signals": lambda s, d: agg.analog_signals(agg.signal_stats(b.line_trace(s, d), b.LINE_SIGNALS)).select("signal"),
+    "signal_stats": lambda s, d: rounded(agg.signal_stats(_trace(s, d), b.TRACE_SIGNALS, exact=True)),
+    "analog_signals": lambda s, d: agg.analog_signals(agg.signal_stats(b.line_trace(s, d), b.LINE_SIGNALS, exact=True)).select("signal"),
     "indicators": lambda s, d: rounded(_iso(_indicators(s, d), "start_time"), 5),
     "indicator_counts": lambda s, d: agg.indicator_counts(_indicators(s, d)),
     "indicator_points": lambda s, d: rounded(_iso(agg.indicator_points(_indicators(s, d), "overshoot"), "time")),
-    "control_limits": lambda s, d: rounded(spc.control_limits(_points(s, d))),
-    "spc_violations": lambda s, d: rounded(_iso(spc.violations(spc.with_own_limits(_points(s, d))), "time")),
-    "chart_status": lambda s, d: spc.chart_status(spc.with_own_limits(_points(s, d))),
+    "control_limits": lambda s, d: rounded(spc.control_limits(line_points(s, d))),
+    "spc_violations": lambda s, d: rounded(_iso(spc.violations(spc.with_own_limits(line_points(s, d))), "time")),
+    "chart_status": lambda s, d: spc.chart_status(spc.with_own_limits(line_points(s, d))),
     "baseline_limits": lambda s, d: rounded(spc.baseline_limits(_points(s, d))),
     "imr_status": lambda s, d: spc.chart_status(spc.with_frozen_baseline(_points(s, d))),
     "ewma_chart": lambda s, d: rounded(spc.ewma_chart(spc.with_frozen_baseline(_points(s, d))).drop("time")),
     "cusum_chart": lambda s, d: rounded(spc.cusum_chart(spc.with_frozen_baseline(_points(s, d))).drop("time")),
-    "residual_chart": lambda s, d: rounded(spc.residual_chart(_points(s, d)).drop("time")),
-    "diagnosis": lambda s, d: rounded(spc.diagnosis(_points(s, d)).drop("alternatives")),
-    "adaptive_spc": lambda s, d: rounded(spc.adaptive(_points(s, d)).drop("alternatives")),
-    "linear_fit": lambda s, d: rounded(spc.linear_fit(_points(s, d))),
+    "residual_chart": lambda s, d: rounded(spc.residual_chart(line_points(s, d)).drop("time")),
+    "diagnosis": diagnosis,
+    "adaptive_spc": lambda s, d: rounded(spc.adaptive(_points(s, d)).drop("alternatives", "reason")),
+    "linear_fit": lambda s, d: rounded(spc.linear_fit(line_points(s, d))),
     "capability": lambda s, d: rounded(spc.capability(_points(s, d), spc.spec_from_setpoint(_points(s, d, ["k"])))),
     "risk_scan": risk_scan,
+    "risk_summary": risk_summary,
     "yield_correlations": yield_correlations,
     "yield_pairs": yield_pairs,
     "commonality_anomalies": anomalies,
@@ -179,11 +178,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trace_deviation": trace_deviation,
     "standardized": standardized,
     "correlation_matrix": correlation_matrix,
-    "fdc_monitor": fdc_monitor,
-    "fdc_alarms": fdc_alarms,
-    "dtw_distances": dtw_distances,
-    "detector_benchmark": lambda s, d: detectors.grade(detectors.run_scenarios(s)),
-    "detector_run_lengths": lambda s, d: detectors.run_lengths(s),
     "injected_faults": injected_faults,
     "signal_catalog": signal_catalog,
     "lot_types": lot_types,
@@ -209,10 +203,12 @@ def _pts(source: str, name: str, where: str = "") -> str:
  max(v) AS max, count(v) AS samples FROM {source} {where} GROUP BY {_K}, {_R})"""
 
 
-_VALUE = "WITH " + _LONG + _pts("samples", "pts", "WHERE signal = 'value'")
+_VALUE = "WITH " + _LONG + _pts("samples", "pts")
+_LVALUE = "WITH " + _LLONG + _pts("lsamples", "pts")
 _W, _ALL = f"(PARTITION BY {_K} ORDER BY time, lot, wafer_no)", f"(PARTITION BY {_K})"
-_ORD = _VALUE + f", o AS (SELECT *, value AS x, row_number() OVER {_W} - 1 AS idx, count(*) OVER {_ALL} AS n, abs(value - lag(value) OVER {_W}) AS mr FROM pts)"
-_OWN = _ORD + f", lim AS (SELECT *, avg(x) OVER {_ALL} AS cl, coalesce(avg(mr) OVER {_ALL}, 0) / 1.128 AS sg FROM o)"
+_NUMBERED = f", o AS (SELECT *, value AS x, row_number() OVER {_W} - 1 AS idx, count(*) OVER {_ALL} AS n, abs(value - lag(value) OVER {_W}) AS mr FROM pts)"
+_ORD, _LORD = _VALUE + _NUMBERED, _LVALUE + _NUMBERED
+_OWN = _LORD + f", lim AS (SELECT *, avg(x) OVER {_ALL} AS cl, coalesce(avg(mr) OVER {_ALL}, 0) / 1.128 AS sg FROM o)"
 _FROZEN = _ORD + f""", w8 AS (SELECT {_K}, a.idx AS lo, avg(c.mr) AS q FROM o a JOIN o c USING ({_K}) WHERE c.idx BETWEEN a.idx + 1 AND a.idx + 7 AND a.idx + 8 <= a.n GROUP BY ALL),
  best AS (SELECT {_K}, arg_min(lo, (q, lo)) AS lo FROM w8 GROUP BY ALL),
  span AS (SELECT o.*, CASE WHEN n < 8 THEN 0 ELSE best.lo END AS b0, CASE WHEN n < 8 THEN n - 1 ELSE best.lo + 7 END AS b1 FROM o LEFT JOIN best USING ({_K})),
@@ -248,6 +244,15 @@ _DIAG = _RHO + f""", cums AS (SELECT *, abs(sum(d) OVER (PARTITION BY {_K} ORDER
  diag AS (SELECT *, CASE WHEN sw > 0 THEN st / sw WHEN st > 0 THEN 'inf'::DOUBLE ELSE 1 END AS ratio, abs(lag1) > 2 / sqrt(n) AS sig, CASE WHEN n >= 4 AND st > 0 AND top >= st THEN cpi END AS cp FROM one),
  grade AS (SELECT *, CASE WHEN isinf(ratio) OR ratio < 1.5 THEN 'high' WHEN ratio < 3 THEN 'medium' ELSE 'low' END AS trust FROM diag)"""
 _DIAG_COLS = ", ".join([_r("sw", "sigma_within"), _r("st", "sigma_total"), _r("lag1", "lag1"), _r("ratio", "ratio"), "sig AS autocorr_significant", _r("sk", "skewness"), "cp AS change_point", "trust", "CASE WHEN sig OR trust = 'low' THEN 'residual' WHEN cp IS NOT NULL THEN 'cusum' ELSE 'ewma' END AS recommended"])
+def fixed_sql(expr: str, digits: int) -> str:
+    return f"CAST(CAST(round({expr}, {digits}) AS DECIMAL(38,{digits})) AS VARCHAR)"
+
+
+_REASON_COLS = f"""CASE WHEN sig OR trust = 'low' THEN 'imr,ewma,cusum' WHEN cp IS NOT NULL THEN 'imr,ewma,residual' ELSE 'imr,cusum,residual' END AS alternatives,
+ CASE WHEN sig THEN 'Neighbouring points are correlated (' || {fixed_sql('lag1', 2)} || '), so residuals of an autoregression are charted.'
+ WHEN trust = 'low' THEN 'Points vary ' || CASE WHEN isinf(ratio) THEN 'infinitely' ELSE {fixed_sql('CASE WHEN isinf(ratio) THEN NULL ELSE ratio END', 1)} || ' times' END || ' as much overall as between neighbours, so a trend is taken out first.'
+ WHEN cp IS NOT NULL THEN 'The level may change after point ' || cp || '; sums show small lasting shifts soonest.'
+ ELSE 'No trend or correlation shows and trust is ' || trust || '; weighted means show small shifts soon.' END AS reason"""
 _IND = {
     "mean": "avg(v)", "median": "quantile_cont(v, 0.5)", "start_val": "arg_min(v, processed_time)", "end_val": "arg_max(v, processed_time)", "std": "coalesce(stddev_samp(v), 0)",
     "robust_std": "coalesce((quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349, 0)", "min_val": "min(v)", "max_val": "max(v)", "range_val": "max(v) - min(v)", "p05": "quantile_cont(v, 0.05)", "p95": "quantile_cont(v, 0.95)",
@@ -256,8 +261,8 @@ _IND = {
     "step_duration_s": "((epoch_us(max(processed_time)) // 1000) - (epoch_us(min(processed_time)) // 1000)) / 1000.0::DOUBLE",
 }
 _INDTAB = ", ind AS (SELECT lot, wafer_no, recipe, stage, recipe_step_num, system_label, signal, min(processed_time) AS start_time, " + ", ".join(f"{e} AS {n}" for n, e in _IND.items()) + ", count(v) AS n_samples FROM samples GROUP BY lot, wafer_no, recipe, stage, recipe_step_num, system_label, signal)"
-_MARK = _INDTAB + """, cr AS (SELECT recipe || '|' || stage || '|' || recipe_step_num AS context, mean AS value, lot, wafer_no, recipe, stage, CAST(recipe_step_num AS VARCHAR) AS step,
- system_label AS chamber, strftime(start_time, '%Y-%m-%d') AS date FROM ind WHERE signal = 'value'),
+_MARK = _INDTAB + """, cr AS (SELECT recipe || '|' || stage || '|' || recipe_step_num || '|' || signal AS context, mean AS value, lot, wafer_no, recipe, stage, CAST(recipe_step_num AS VARCHAR) AS step,
+ system_label AS chamber, strftime(start_time, '%Y-%m-%d') AS date FROM ind),
  q AS (SELECT context, count(*) AS size, median(value) AS median, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, coalesce(stddev_samp(value), 0) AS sd FROM cr GROUP BY context),
  md AS (SELECT context, median(abs(value - median)) / 0.6745 AS mad FROM cr JOIN q USING (context) GROUP BY context),
  sg AS (SELECT *, CASE WHEN mad > 0 THEN mad WHEN iqr > 0 THEN iqr / 1.349 ELSE sd END AS s0 FROM q JOIN md USING (context)),
@@ -277,6 +282,10 @@ _MAT = f", mat AS (SELECT {_C}, {_R}, " + ", ".join(f"avg({s}) AS {s}" for s in
 _SC = "(PARTITION BY recipe, stage, recipe_step_num)"
 
 
+_SCAN = f"""{_LLONG}, top8 AS (SELECT {_C} FROM ltrace GROUP BY {_C} ORDER BY count(DISTINCT (lot, wafer_no)) DESC, {_C} LIMIT 8), chosen AS (SELECT lsamples.* FROM lsamples JOIN top8 USING ({_C})){_pts('chosen', 'pts')}{_NUMBERED},
+ lim AS (SELECT *, avg(x) OVER {_ALL} AS cl, coalesce(avg(mr) OVER {_ALL}, 0) / 1.128 AS sg FROM o){_RULES}{_STATUS}"""
+
+
 def _subsystem_sql() -> str:
     out = "CASE "
     for name, (prefixes, whole) in names.SUBSYSTEMS.items():
@@ -310,22 +319,22 @@ ORACLES: dict[str, str] = {
  cu AS (SELECT {_K}, {_R}, idx, sg, greatest(0, z - 0.5) AS u, greatest(0, -z - 0.5) AS d FROM zs WHERE idx = 0
  UNION ALL SELECT l.recipe, l.stage, l.recipe_step_num, l.signal, l.lot, l.wafer_no, l.idx, l.sg, greatest(0, cu.u + l.z - 0.5), greatest(0, cu.d - l.z - 0.5) FROM cu JOIN zs l ON l.recipe = cu.recipe AND l.stage = cu.stage AND l.recipe_step_num = cu.recipe_step_num AND l.signal = cu.signal AND l.idx = cu.idx + 1)
  SELECT {_K}, {_R}, idx, {_r('u', 'statistic')}, {_r('d', 'statistic_low')}, 5.0::DOUBLE AS ucl, 0.0::DOUBLE AS lcl, sg > 0 AND (u > 5 OR d > 5) AS alarm FROM cu""",
-    "residual_chart": f"""{_ORD}{_RHO}, ar AS (SELECT *, CASE WHEN idx = 0 OR n < 3 THEN 0 ELSE x - mu * (1 - rho) - rho * lag(x) OVER {_W} END AS e FROM rho),
+    "residual_chart": f"""{_LORD}{_RHO}, ar AS (SELECT *, CASE WHEN idx = 0 OR n < 3 THEN 0 ELSE x - mu * (1 - rho) - rho * lag(x) OVER {_W} END AS e FROM rho),
  m2 AS (SELECT *, CASE WHEN idx > 1 THEN abs(e - lag(e) OVER {_W}) END AS emr FROM ar), s3 AS (SELECT *, coalesce(avg(emr) OVER {_ALL}, 0) / 1.128 AS es FROM m2)
  SELECT {_K}, {_R}, idx, {_r('rho', 'phi')}, {_r('e', 'statistic')}, {_r('3 * es', 'ucl')}, {_r('-3 * es', 'lcl')}, es > 0 AND idx > 0 AND abs(e) > 3 * es AS alarm FROM s3""",
-    "diagnosis": f"{_ORD}{_DIAG} SELECT {_K}, n, {_DIAG_COLS} FROM grade",
+    "diagnosis": f"{_LORD}{_DIAG} SELECT {_K}, n, {_DIAG_COLS}, {_REASON_COLS} FROM grade",
     "adaptive_spc": f"{_FROZEN}{_DIAG}{_RULES}{_STATUS} SELECT {_K}, base_start, base_end, base.points, base_end - base_start + 1 < 8 AS insufficient, {_limits()}, grade.n, {_DIAG_COLS}, {_STATUS_COLS} FROM base JOIN grade USING ({_K}) JOIN status USING ({_K})",
-    "linear_fit": f"{_ORD} SELECT {_K}, count(*) AS n, {_r('regr_slope(x, idx)', 'slope')}, {_r('regr_intercept(x, idx)', 'intercept')}, {_r('sqrt((regr_syy(x, idx) - regr_slope(x, idx) * regr_sxy(x, idx)) / count(*))', 'residual_rms')} FROM o GROUP BY {_K}",
+    "linear_fit": f"{_LORD} SELECT {_K}, count(*) AS n, {_r('regr_slope(x, idx)', 'slope')}, {_r('regr_intercept(x, idx)', 'intercept')}, {_r('sqrt((regr_syy(x, idx) - regr_slope(x, idx) * regr_sxy(x, idx)) / count(*))', 'residual_rms')} FROM o GROUP BY {_K}",
     "capability": f"""{_ORD}{_pts('samples', 'kp', "WHERE signal = 'k'")}, spec AS (SELECT {_C}, avg(value) AS target FROM kp GROUP BY {_C}),
  c AS (SELECT {_K}, avg(x) AS m, coalesce(avg(mr), 0) / 1.128 AS sw, coalesce(stddev_samp(x), 0) AS st FROM o GROUP BY {_K}),
  u AS (SELECT *, target + 0.05 * abs(target) AS usl, target - 0.05 * abs(target) AS lsl FROM c LEFT JOIN spec USING ({_C})),
  k AS (SELECT *, (usl - lsl) / (6 * sw) AS cp, least((usl - m) / (3 * sw), (m - lsl) / (3 * sw)) AS cpk, (usl - lsl) / (6 * st) AS pp, least((usl - m) / (3 * st), (m - lsl) / (3 * st)) AS ppk FROM u)
  SELECT {_K}, {_r('m', 'mean')}, {_r('sw', 'sigma_within')}, {_r('st', 'sigma_total')}, {_r('target', 'target')}, {_r('usl', 'usl')}, {_r('lsl', 'lsl')}, {_r('cp', 'cp')}, {_r('cpk', 'cpk')}, {_r('pp', 'pp')}, {_r('ppk', 'ppk')}, CASE WHEN cpk IS NULL THEN 'unknown' WHEN cpk >= 1.33 THEN 'capable' WHEN cpk >= 1 THEN 'marginal' ELSE 'incapable' END AS grade FROM k""",
-    "risk_scan": f"""WITH {_LLONG}, top8 AS (SELECT {_C} FROM ltrace GROUP BY {_C} ORDER BY count(DISTINCT (lot, wafer_no)) DESC, {_C} LIMIT 8), chosen AS (SELECT lsamples.* FROM lsamples JOIN top8 USING ({_C})){_pts('chosen', 'pts')},
- o AS (SELECT *, value AS x, row_number() OVER {_W} - 1 AS idx, count(*) OVER {_ALL} AS n, abs(value - lag(value) OVER {_W}) AS mr FROM pts),
- lim AS (SELECT *, avg(x) OVER {_ALL} AS cl, coalesce(avg(mr) OVER {_ALL}, 0) / 1.128 AS sg FROM o){_RULES}{_STATUS} SELECT {_K}, points, {_STATUS_COLS} FROM status WHERE alarms + warns > 0""",
+    "risk_scan": f"""WITH {_SCAN} SELECT {_K}, points, {_STATUS_COLS}, points < 8 AS insufficient FROM status WHERE alarms + warns > 0""",
+    "risk_summary": f"""WITH {_SCAN} SELECT count(*) FILTER (alarms + warns > 0) AS charts, count(*) FILTER (points < 8) AS insufficient, CAST(sum(alarms) AS BIGINT) AS total_alarms, CAST(sum(warns) AS BIGINT) AS total_warns,
+ (SELECT count(*) * 4 FROM top8) AS scanned FROM status""",
     "yield_correlations": f"WITH {_LLONG}{_pts('lsamples', 'p')}, {_QUAL} SELECT {_K}, {_r('corr(value, yield_pct)', 'r')}, count(*) AS n FROM p JOIN qual USING (lot, wafer_no) GROUP BY {_K} HAVING count(*) >= 5",
-    "yield_pairs": f"""WITH {_LLONG}{_pts('lsamples', 'p', "WHERE signal = 'l_quantity'")}, {_QUAL} SELECT {_K}, lot, wafer_no, {_r('value', 'value')}, {_r('defect_count', 'response')} FROM p JOIN qual USING (lot, wafer_no)""",
+    "yield_pairs": f"""WITH {_LLONG}{_pts('lsamples', 'p')}, {_QUAL} SELECT {_K}, lot, wafer_no, {_r('value', 'value')}, {_r('defect_count', 'response')} FROM p JOIN qual USING (lot, wafer_no)""",
     "commonality_anomalies": f"WITH {_LONG}{_MARK} SELECT context, lot, wafer_no, {_r('value', 'value', 5)}, {_r('median', 'median', 5)}, {_r('s', 'robust_sigma', 5)}, {_r('z', 'z', 5)} FROM mz WHERE abs(z) > 2",
     "commonality_findings": f"""WITH {_LONG}{_MARK}, tot AS (SELECT count(*) FILTER (abs(z) > 2) AS nb, count(*) FILTER (abs(z) <= 2) AS ng FROM mz),
  u AS ({' UNION ALL '.join(f"SELECT '{d}' AS dimension, {d} AS value, count(*) FILTER (abs(z) > 2) AS bc, count(*) FILTER (abs(z) <= 2) AS gc FROM mz GROUP BY {d}" for d in com.DIMENSIONS)}),
@@ -341,13 +350,13 @@ ORACLES: dict[str, str] = {
     "idle_gaps": f"WITH {_RUNS} {_SQLRUNS}",
     "trace_overlay": f"""WITH {_LONG} SELECT {_C}, {_R}, signal, strftime(processed_time, '%Y-%m-%dT%H:%M:%S.%g') AS time, {_r('v', 'v')}, {_r(f'CASE WHEN max(v) OVER w = min(v) OVER w THEN 0.5 ELSE (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) END', 'scaled')} FROM samples WINDOW w AS (PARTITION BY {_C}, {_R}, signal)""",
     "trace_envelope": f"WITH {_RES} SELECT label, pos, {_r('avg(v)', 'center')}, {_r('avg(v) - 3 * coalesce(stddev_samp(v), 0)', 'lower')}, {_r('avg(v) + 3 * coalesce(stddev_samp(v), 0)', 'upper')} FROM res GROUP BY label, pos",
-    "trace_deviation": f"""WITH {_RES}, env AS (SELECT label, pos, avg(v) - 2 * coalesce(stddev_samp(v), 0) AS lo, avg(v) + 2 * coalesce(stddev_samp(v), 0) AS hi FROM res WHERE vec_id % 2 = 0 GROUP BY label, pos),
+    "trace_deviation": f"""WITH {_RES}, env AS (SELECT label, pos, avg(v) - 2 * coalesce(stddev_samp(v), 0) AS lo, avg(v) + 2 * coalesce(stddev_samp(v), 0) AS hi FROM res GROUP BY label, pos),
  ex AS (SELECT vec_id, label, greatest(v - hi, lo - v, 0) AS e FROM res JOIN env USING (label, pos)) SELECT vec_id, label, {_r('count(*) FILTER (e > 0) / 33.0::DOUBLE', 'out_of_band', 5)}, {_r('coalesce(avg(e) FILTER (e > 0), 0)', 'mean_excess', 5)}, count(*) FILTER (e > 0) / 33.0::DOUBLE > 0.1 AS alarm FROM ex GROUP BY vec_id, label""",
     "standardized": f"WITH {_L}{_MAT} SELECT {_C}, {_R}, " + ", ".join(_r(f"({s} - avg({s}) OVER {_SC}) / CASE WHEN stddev_samp({s}) OVER {_SC} > 0 THEN stddev_samp({s}) OVER {_SC} ELSE 1 END", s, 5) for s in b.LINE_SIGNALS) + " FROM mat",
     "correlation_matrix": f"WITH {_L}{_MAT} " + " UNION ALL ".join(f"SELECT {_C}, '{x}' AS a, '{y}' AS b, {_r(f'coalesce(nullif(corr({x}, {y}), {chr(39)}nan{chr(39)}::DOUBLE), 0)', 'r')} FROM mat GROUP BY {_C}" for i, x in enumerate(b.LINE_SIGNALS) for y in b.LINE_SIGNALS[i:]),
-    "injected_faults": f"""{_ORD}, c AS (SELECT {_C}, CAST(idx AS INTEGER) AS idx, x, avg(x) OVER (PARTITION BY {_C}) AS mu FROM o WHERE recipe = 'click')
- SELECT {_C}, idx, {_r('CASE WHEN idx >= 60 THEN x + 2 ELSE x END', 'value')}, idx >= 60 AS is_faulty, 'shift' AS kind FROM c UNION ALL SELECT {_C}, idx, {_r('CASE WHEN idx >= 60 THEN x + 0.2 * (idx - 59) ELSE x END', 'value')}, idx >= 60, 'drift' FROM c
- UNION ALL SELECT {_C}, idx, {_r('CASE WHEN idx = 60 THEN x + 8 ELSE x END', 'value')}, idx = 60, 'spike' FROM c UNION ALL SELECT {_C}, idx, {_r('CASE WHEN idx >= 60 THEN x + (x - mu) ELSE x END', 'value')}, idx >= 60, 'variance' FROM c""",
+    "injected_faults": f"""{_ORD}, c AS (SELECT {_K}, CAST(idx AS INTEGER) AS idx, x, avg(x) OVER {_ALL} AS mu FROM o)
+ SELECT {_K}, idx, {_r('CASE WHEN idx >= 60 THEN x + 2 ELSE x END', 'value')}, idx >= 60 AS is_faulty, 'shift' AS kind FROM c UNION ALL SELECT {_K}, idx, {_r('CASE WHEN idx >= 60 THEN x + 0.2 * (idx - 59) ELSE x END', 'value')}, idx >= 60, 'drift' FROM c
+ UNION ALL SELECT {_K}, idx, {_r('CASE WHEN idx = 60 THEN x + 8 ELSE x END', 'value')}, idx = 60, 'spike' FROM c UNION ALL SELECT {_K}, idx, {_r('CASE WHEN idx >= 60 THEN x + (x - mu) ELSE x END', 'value')}, idx >= 60, 'variance' FROM c""",
     "signal_catalog": "SELECT signal, " + _subsystem_sql() + " AS subsystem, " + " OR ".join(f"contains(signal, '{p}')" for p in names.ANALOG_PARTS) + " AS analog FROM (VALUES " + ", ".join(f"('{s}')" for s in names.SIGNALS) + ") t(signal)",
     "lot_types": "SELECT lot, CASE WHEN regexp_matches(lot, 'aging|age', 'i') THEN 'aging' WHEN regexp_matches(lot, 'bare|dummy|dmy', 'i') THEN 'bare' WHEN regexp_matches(lot, 'mon|test|ted|qual|qc', 'i') THEN 'monitor' ELSE 'product' END AS wafer_type FROM (SELECT DISTINCT event_type AS lot FROM events UNION ALL VALUES ('AGING-1'), ('Dummy7'), ('QC_3'), ('N123'), ('lot-mon'))",
     "dashboard": f"WITH {_T} SELECT {_R}, {_C}, count(*) AS samples, strftime(min(processed_time), {_ISO}) AS start_time FROM trace GROUP BY {_R}, {_C} ORDER BY min(processed_time) DESC, {_C} LIMIT 8",

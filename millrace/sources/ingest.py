@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.signals import CONTEXT_COLUMNS, MAX_STEP, SIGNALS
 from millrace.operators.aggregates import indicators, signal_stats
@@ -26,8 +25,8 @@ def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def _cast(name: str, kind: str):
     c = F.col(f"`{name}`")
-    if kind == "timestamp":
-        return F.try_to_timestamp(c)
+    if kind == "timestamp":  # as it is written: a zone in the text is left out, the session's zone doesn't matter
+        return c.try_cast("timestamp_ntz")
     if kind == "int":  # fractions round, as text like "5.0" occurs
         return F.round(c.try_cast("double")).try_cast("int")
     return c.try_cast(kind) if kind != "string" else c
@@ -57,6 +56,9 @@ def ingest(spark: SparkSession, csv: str, out: str, signals: list[str] | None =
 
 
 def build_indicators(spark: SparkSession, out: str, signals: list[str] | None = None) -> dict[str, int]:
+    """Makes the indicator table anew from the trace table below ``out``."""
+    if not table_exists(spark, f"{out}/trace"):
+        raise ValueError(f"there is no trace table below {out}")
     trace = spark.read.parquet(f"{out}/trace")
     indicators(trace, signals or SIGNALS).write.mode("overwrite").partitionBy("signal").parquet(f"{out}/indicators")
     n = spark.read.parquet(f"{out}/indicators").count()
@@ -79,13 +81,7 @@ def quality_table(raw: DataFrame) -> DataFrame:
 
 def load_quality(spark: SparkSession, csv: str) -> DataFrame | None:
     """The quality table, or None where there is no such file."""
-    try:
-        raw = read_text_csv(spark, csv)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return quality_table(raw)
+    return quality_table(read_text_csv(spark, csv)) if table_exists(spark, csv) else None
 
 
 def has_rows(df: DataFrame | None) -> bool:
@@ -93,10 +89,7 @@ def has_rows(df: DataFrame | None) -> bool:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file or folder matches ``path`` (which may be a pattern)."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-
-
-def empty_quality(spark: SparkSession) -> DataFrame:
-    kinds = {"string": T.StringType(), "double": T.DoubleType()}
-    return spark.createDataFrame([], T.StructType([T.StructField(n, kinds[k]) for n, (_, k, _) in QUALITY.items()]))
+    found = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jpath)
+    return found is not None and len(found) > 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,26 +15,36 @@ from millrace.operators.spc import CUSUM_H, CUSUM_K, EWMA_L, KEYS, LAMBDA
 OUT = "recipe string, stage string, recipe_step_num int, signal string, time timestamp, idx int, ewma double, ewma_alarm boolean, cusum_up double, cusum_down double, cusum_alarm boolean"
 
 
+def _one_sided(last: float, steps: np.ndarray) -> np.ndarray:
+    """max(0, C + step) over all steps from C = last: sums less their least so far."""
+    sums = last + np.cumsum(steps)
+    return sums - np.minimum(np.minimum.accumulate(sums), 0.0)
+
+
 def monitor_stream(points: DataFrame, limits: DataFrame) -> DataFrame:
     """points: a stream of KEYS, time, value; limits: a static table of KEYS, center_line, sigma.
 
-    Points of a key must arrive in order of time. Returns a stream with both charts' statistics and alarms.
+    Points of a key are put in order of time within a trigger; those of a later trigger must not be earlier.
+    Returns a stream with both charts' statistics and alarms.
     """
     joined = points.join(limits.select(*KEYS, "center_line", "sigma"), KEYS)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        idx, z, up, down = state.get if state.exists else (0, None, 0.0, 0.0)
-        for pdf in frames:
-            rows = []
-            for r in pdf.sort_values("time").itertuples():
-                z = LAMBDA * r.value + (1 - LAMBDA) * (r.center_line if z is None else z)
-                width = EWMA_L * r.sigma * (LAMBDA / (2 - LAMBDA) * (1 - (1 - LAMBDA) ** (2 * (idx + 1)))) ** 0.5
-                u = (r.value - r.center_line) / r.sigma if r.sigma > 0 else 0.0
-                up, down = max(0.0, up + u - CUSUM_K), max(0.0, down - u - CUSUM_K)
-                rows.append((*key, r.time, idx, z, r.sigma > 0 and abs(z - r.center_line) > width, up, down, max(up, down) > CUSUM_H))
-                idx += 1
-            yield pd.DataFrame(rows, columns=[p.split()[0] for p in OUT.split(", ")])
-        state.update((idx, z, up, down))
+        idx, last, up, down = state.get if state.exists else (0, None, 0.0, 0.0)
+        pdf = pd.concat(list(frames)).sort_values("time", kind="stable", ignore_index=True)
+        if not len(pdf):
+            return
+        center, sigma, x = float(pdf["center_line"][0]), float(pdf["sigma"][0]), pdf["value"].to_numpy(float)
+        z = pd.Series(np.concatenate(([center if last is None else last], x))).ewm(alpha=LAMBDA, adjust=False).mean().to_numpy()[1:]
+        at = idx + np.arange(len(x))
+        width = EWMA_L * sigma * np.sqrt(LAMBDA / (2 - LAMBDA) * (1 - (1 - LAMBDA) ** (2 * (at + 1.0))))
+        u = (x - center) / sigma if sigma > 0 else np.zeros(len(x))
+        ups, downs = _one_sided(up, u - CUSUM_K), _one_sided(down, -u - CUSUM_K)
+        out = pd.DataFrame({"time": pdf["time"], "idx": at.astype("int32"), "ewma": z, "ewma_alarm": (sigma > 0) & (np.abs(z - center) > width), "cusum_up": ups, "cusum_down": downs, "cusum_alarm": np.maximum(ups, downs) > CUSUM_H})
+        state.update((int(idx + len(x)), float(z[-1]), float(ups[-1]), float(downs[-1])))
+        for name, value in reversed(list(zip(KEYS, key))):
+            out.insert(0, name, value)
+        yield out
 
     return joined.groupBy(*KEYS).applyInPandasWithState(step, OUT, "idx int, z double, up double, down double", "append", GroupStateTimeout.NoTimeout)
 
