@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 #: Rows that are handled at once: texts may be long. (Spark bounds what travels at once by bytes.)
 BATCH_ROWS = 512
+_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _local: dict[str, str] = {}  # by application: the folder of a local session without a setting
 
@@ -63,11 +64,20 @@ def unused(name: str, columns: list[str]) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, and no executor owns the rows.
 
-    The table is removed by ``discard`` or when the driver ends.
+    The table is removed by ``discard`` or when the driver ends. While it is written, as few rows travel to Python at once
+    as are handled at once there; the session's own setting holds again afterwards.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_AT_ONCE, None)
+    spark.conf.set(_AT_ONCE, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_AT_ONCE)
+        else:
+            spark.conf.set(_AT_ONCE, before)
     atexit.register(_remove, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._millrace_path = path
