@@ -38,10 +38,9 @@ END = np.uint64(0xFFFFFFFFFFFFFFFF)
 END_SYMBOL = SYMBOLS - 1
 #: Words with at least this share of all training tokens are broadcast.
 COMMON_SHARE = 1 / (1 << 19)
-#: Tokens of a piece that gives starting values, of a piece when a long text is trained on, of a block when it is scored.
+#: Tokens of a piece that gives starting values, and of the pieces in which long texts are run.
 SEED = 512
-PIECE = 2048
-BLOCK = 1024
+PIECE = 512
 _RANGE = 1024  # symbols in a row of partial counts
 LN10 = np.log(10.0)
 
@@ -107,63 +106,91 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return grid, n[order], order
 
 
+def _products(pieces: list[np.ndarray], opens: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Each piece's product of transition and emission matrices, scaled to a sum of 1, and the log of what it was scaled by.
+
+    One that opens its text has no transition before its first symbol. Pieces are run side by side.
+    """
+    k = len(model.start)
+    out, logs = np.empty((len(pieces), k, k)), np.empty(len(pieces))
+    by_length = np.argsort([-len(p) for p in pieces], kind="stable")
+    for g in range(0, len(pieces), 512):
+        some = by_length[g : g + 512]
+        grid, n, order = _padded([pieces[i] for i in some.tolist()])
+        some = some[order]
+        live = np.searchsorted(-n, -np.arange(len(grid)), side="left")
+        first = opens[some]
+        m = np.where(first[:, None, None], np.eye(k), model.move) * model.emit[grid[0]][:, None, :]
+        log = np.zeros(len(some))
+        for t in range(1, len(grid)):
+            d = int(live[t])
+            now = (m[:d].reshape(-1, k) @ model.move).reshape(d, k, k)
+            now *= model.emit[grid[t, :d]][:, None, :]
+            if t % 8 == 0:  # in eight steps no product leaves the range of doubles
+                total = now.sum((1, 2))
+                now /= total[:, None, None]
+                log[:d] += np.log(total)
+            m[:d] = now
+        total = m.sum((1, 2))
+        out[some], logs[some] = m / total[:, None, None], log + np.log(total)
+    return out, logs
+
+
+def _cut(seqs: list[np.ndarray], model: Model) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(which, pieces, their products, logs) of each sequence of over PIECE symbols; many sequences are run side by side."""
+    held: list[tuple[int, list[np.ndarray]]] = []
+
+    def give() -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+        opens = np.concatenate([np.arange(len(parts)) == 0 for _, parts in held])
+        products, logs = _products([x for _, parts in held for x in parts], opens, model)
+        at = 0
+        for i, parts in held:
+            yield i, parts, products[at : at + len(parts)], logs[at : at + len(parts)]
+            at += len(parts)
+
+    for i, s in enumerate(seqs):
+        if len(s) > PIECE:
+            held.append((i, [s[lo : lo + PIECE] for lo in range(0, len(s), PIECE)]))
+            if sum(len(parts) for _, parts in held) >= 2048:
+                yield from give()
+                held = []
+    if held:
+        yield from give()
+
+
 def log_likelihood(seqs: list[np.ndarray], model: Model) -> np.ndarray:
     """The natural log of the probability of each symbol sequence (each of one symbol at least): scaled forward recursion.
 
-    The part of a sequence beyond ``2 * BLOCK`` symbols is cut into blocks; each block's product of transition and
-    emission matrices is found from unit vectors, for all blocks at once, and the products are applied in order.
+    Of a sequence of over PIECE symbols, each piece's matrix product is found side by side with others', and the state
+    shares pass through the products in order.
     """
     out = np.zeros(len(seqs))
-    heads = [s[: 2 * BLOCK] for s in seqs]
-    grid, n, order = _padded(heads)
-    live = np.searchsorted(-n, -np.arange(len(grid)), side="left") if len(grid) else []  # sequences longer than t
-    alpha = np.tile(model.start, (len(seqs), 1))
-    log = np.zeros(len(seqs))
-    for t in range(len(grid)):
-        d = int(live[t])
-        a = alpha[:d] if t == 0 else alpha[:d] @ model.move
-        a *= model.emit[grid[t, :d]]
-        s = a.sum(1)
-        a /= s[:, None]
-        alpha[:d] = a
-        log[:d] += np.log(s)
-    out[order] = log
-    where = np.empty(len(seqs), int)
-    where[order] = np.arange(len(seqs))
-    for i, s in enumerate(seqs):
-        if len(s) > 2 * BLOCK:
-            v = alpha[where[i]].copy()
-            for lo in range(2 * BLOCK, len(s), 64 * BLOCK):
-                v, more = _by_blocks(v, s[lo : lo + 64 * BLOCK], model)
-                out[i] += more
+    for i, _, products, logs in _cut(seqs, model):
+        v = model.start
+        for x, log in zip(products, logs.tolist()):
+            v = v @ x
+            out[i] += log + np.log(v.sum())
+            v = v / v.sum()
+    short = np.array([i for i, s in enumerate(seqs) if len(s) <= PIECE], int)
+    short = short[np.argsort([-len(seqs[i]) for i in short.tolist()], kind="stable")] if len(short) else short
+    for g in range(0, len(short), 512):
+        some = short[g : g + 512]
+        grid, n, order = _padded([seqs[i] for i in some.tolist()])
+        live = np.searchsorted(-n, -np.arange(len(grid)), side="left")  # sequences longer than t
+        alpha = np.tile(model.start, (len(some), 1))
+        log = np.zeros(len(some))
+        for t in range(len(grid)):
+            d = int(live[t])
+            a = alpha[:d] if t == 0 else alpha[:d] @ model.move
+            a *= model.emit[grid[t, :d]]
+            s = a.sum(1)
+            a /= s[:, None]
+            alpha[:d] = a
+            log[:d] += np.log(s)
+        out[some[order]] = log
     return out
 
 
-def _by_blocks(v: np.ndarray, s: np.ndarray, model: Model) -> tuple[np.ndarray, float]:
-    k = len(v)
-    full, total = len(s) // BLOCK, 0.0
-    if full:
-        grid = s[: full * BLOCK].reshape(full, BLOCK)
-        m = np.tile(np.eye(k), (full, 1, 1))
-        scale = np.zeros((full, k))
-        for t in range(BLOCK):
-            m = m @ model.move
-            m *= model.emit[grid[:, t]][:, None, :]
-            norm = m.sum(2)
-            m /= norm[:, :, None]
-            scale += np.log(norm)
-        for b in range(full):
-            top = scale[b].max()
-            v = (v * np.exp(scale[b] - top)) @ m[b]
-            total += top + np.log(v.sum())
-            v /= v.sum()
-    for x in s[full * BLOCK :].tolist():
-        v = (v @ model.move) * model.emit[x]
-        total += np.log(v.sum())
-        v /= v.sum()
-    return v, total
-
-
 @dataclass
 class Counts:
     start: np.ndarray
@@ -171,27 +198,9 @@ class Counts:
     emit: np.ndarray  # (K, SYMBOLS)
 
 
-def _messages(pieces: list[np.ndarray], model: Model) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For consecutive pieces of one sequence: the state shares before each, and the backward values at the end of each.
-
-    Both come from each piece's product of transition and emission matrices (up to a factor), found side by side.
-    """
-    k = len(model.start)
-    grid, n, order = _padded(pieces)
-    live = np.searchsorted(-n, -np.arange(len(grid)), side="left")
-    opens = order == 0
-    m = np.tile(np.eye(k), (len(pieces), 1, 1))
-    for t in range(len(grid)):
-        d = int(live[t])
-        now = m[:d].reshape(-1, k) @ model.move
-        now = now.reshape(d, k, k)
-        if t == 0:
-            now[opens[:d]] = np.eye(k)  # the first piece begins with the start shares, without a transition
-        now *= model.emit[grid[t, :d]][:, None, :]
-        m[:d] = now / now.sum((1, 2), keepdims=True)
-    products = np.empty_like(m)
-    products[order] = m
-    before, after = [model.start], [np.ones(k)]
+def _messages(products: np.ndarray, model: Model) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """From the products of a text's pieces: the state shares before each, and the backward values at the end of each."""
+    before, after = [model.start], [np.ones(len(model.start))]
     for x in products[:-1]:
         v = before[-1] @ x
         before.append(v / v.sum())
@@ -205,15 +214,12 @@ def expected_counts(seqs: list[np.ndarray], model: Model) -> Counts:
     """Baum-Welch counts (forward-backward) of whole sequences; those over PIECE symbols are run in pieces side by side."""
     k = len(model.start)
     out = Counts(np.zeros(k), np.zeros((k, k)), np.zeros((k, SYMBOLS)))
-    pieces: list[tuple[np.ndarray, bool, np.ndarray, np.ndarray]] = []  # symbols, whether first, shares before, values after
-    for s in seqs:
-        if len(s) <= PIECE:
-            if len(s):
-                pieces.append((s, True, model.start, np.ones(k)))
-        else:
-            parts = [s[lo : lo + PIECE] for lo in range(0, len(s), PIECE)]
-            before, after = _messages(parts, model)
-            pieces += [(x, i == 0, before[i], after[i]) for i, x in enumerate(parts)]
+    one = np.ones(k)
+    # symbols, whether first, shares before, values after
+    pieces = [(s, True, model.start, one) for s in seqs if 0 < len(s) <= PIECE]
+    for _, parts, products, _ in _cut(seqs, model):
+        before, after = _messages(products, model)
+        pieces += [(x, i == 0, before[i], after[i]) for i, x in enumerate(parts)]
     pieces.sort(key=lambda p: -len(p[0]))
     for g in range(0, len(pieces), 256):
         group = pieces[g : g + 256]
