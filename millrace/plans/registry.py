@@ -89,7 +89,7 @@ def anomalies(spark, sf):
 
 
 def diagnosis(spark, sf):
-    return rounded(spc.diagnosis(line_points(spark, sf)).withColumn("alternatives", F.concat_ws(",", "alternatives")))
+    return rounded(spc.diagnosis(line_points(spark, sf)).withColumn("alternatives", F.concat_ws(",", "alternatives")), 3)
 
 
 def _vectors(spark, sf):
@@ -153,17 +153,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "indicators": lambda s, d: rounded(_iso(_indicators(s, d), "start_time"), 5),
     "indicator_counts": lambda s, d: agg.indicator_counts(_indicators(s, d)),
     "indicator_points": lambda s, d: rounded(_iso(agg.indicator_points(_indicators(s, d), "overshoot"), "time")),
-    "control_limits": lambda s, d: rounded(spc.control_limits(line_points(s, d))),
+    "control_limits": lambda s, d: rounded(spc.control_limits(line_points(s, d)), 3),
     "spc_violations": lambda s, d: rounded(_iso(spc.violations(spc.with_own_limits(line_points(s, d))), "time")),
     "chart_status": lambda s, d: spc.chart_status(spc.with_own_limits(line_points(s, d))),
     "baseline_limits": lambda s, d: rounded(spc.baseline_limits(_points(s, d))),
     "imr_status": lambda s, d: spc.chart_status(spc.with_frozen_baseline(_points(s, d))),
     "ewma_chart": lambda s, d: rounded(spc.ewma_chart(spc.with_frozen_baseline(_points(s, d))).drop("time")),
     "cusum_chart": lambda s, d: rounded(spc.cusum_chart(spc.with_frozen_baseline(_points(s, d))).drop("time")),
-    "residual_chart": lambda s, d: rounded(spc.residual_chart(line_points(s, d)).drop("time")),
+    "residual_chart": lambda s, d: rounded(spc.residual_chart(line_points(s, d)).drop("time"), 3),
     "diagnosis": diagnosis,
     "adaptive_spc": lambda s, d: rounded(spc.adaptive(_points(s, d)).drop("alternatives", "reason")),
-    "linear_fit": lambda s, d: rounded(spc.linear_fit(line_points(s, d))),
+    "linear_fit": lambda s, d: rounded(spc.linear_fit(line_points(s, d)), 3),
     "capability": lambda s, d: rounded(spc.capability(_points(s, d), spc.spec_from_setpoint(_points(s, d, ["k"])))),
     "risk_scan": risk_scan,
     "risk_summary": risk_summary,
@@ -230,9 +230,9 @@ def _r(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {name}"
 
 
-def _limits(cl: str = "cl", sg: str = "sg") -> str:
+def _limits(cl: str = "cl", sg: str = "sg", digits: int = 6) -> str:
     parts = [(cl, "center_line"), (sg, "sigma"), (f"{cl} + 3 * {sg}", "ucl"), (f"{cl} - 3 * {sg}", "lcl"), (f"{cl} + {sg}", "zone_upper1"), (f"{cl} + 2 * {sg}", "zone_upper2"), (f"{cl} - {sg}", "zone_lower1"), (f"{cl} - 2 * {sg}", "zone_lower2")]
-    return ", ".join(_r(e, n) for e, n in parts)
+    return ", ".join(_r(e, n, digits) for e, n in parts)
 
 
 _ISO = "'%Y-%m-%dT%H:%M:%S'"
@@ -243,7 +243,13 @@ _DIAG = _RHO + f""", cums AS (SELECT *, abs(sum(d) OVER (PARTITION BY {_K} ORDER
   CASE WHEN count(*) < 3 OR coalesce(stddev_samp(x), 0) = 0 THEN 0 ELSE skewness(x) END AS sk, max(cum) AS top, arg_max(idx, (cum, -idx)) AS cpi FROM cums GROUP BY {_K}),
  diag AS (SELECT *, CASE WHEN sw > 0 THEN st / sw WHEN st > 0 THEN 'inf'::DOUBLE ELSE 1 END AS ratio, abs(lag1) > 2 / sqrt(n) AS sig, CASE WHEN n >= 4 AND st > 0 AND top >= st THEN cpi END AS cp FROM one),
  grade AS (SELECT *, CASE WHEN isinf(ratio) OR ratio < 1.5 THEN 'high' WHEN ratio < 3 THEN 'medium' ELSE 'low' END AS trust FROM diag)"""
-_DIAG_COLS = ", ".join([_r("sw", "sigma_within"), _r("st", "sigma_total"), _r("lag1", "lag1"), _r("ratio", "ratio"), "sig AS autocorr_significant", _r("sk", "skewness"), "cp AS change_point", "trust", "CASE WHEN sig OR trust = 'low' THEN 'residual' WHEN cp IS NOT NULL THEN 'cusum' ELSE 'ewma' END AS recommended"])
+
+
+def _diag_cols(digits: int = 6) -> str:
+    figures = ", ".join(_r(e, n, digits) for e, n in (("sw", "sigma_within"), ("st", "sigma_total"), ("lag1", "lag1"), ("ratio", "ratio"), ("sk", "skewness")))
+    return f"{figures}, sig AS autocorr_significant, cp AS change_point, trust, CASE WHEN sig OR trust = 'low' THEN 'residual' WHEN cp IS NOT NULL THEN 'cusum' ELSE 'ewma' END AS recommended"
+
+
 def fixed_sql(expr: str, digits: int) -> str:
     return f"CAST(CAST(round({expr}, {digits}) AS DECIMAL(38,{digits})) AS VARCHAR)"
 
@@ -306,7 +312,7 @@ ORACLES: dict[str, str] = {
     "indicators": f"WITH {_LONG}{_INDTAB} SELECT lot, wafer_no, recipe, stage, recipe_step_num, system_label, signal, strftime(start_time, {_ISO}) AS start_time, n_samples, " + ", ".join(_r(n, n, 5) for n in _IND) + " FROM ind",
     "indicator_counts": f"WITH {_LONG}{_INDTAB} SELECT count(*) AS rows, count(DISTINCT signal) AS signals, count(DISTINCT (lot, wafer_no, recipe, stage, recipe_step_num, system_label)) AS wafer_steps FROM ind",
     "indicator_points": f"WITH {_LONG}{_INDTAB} SELECT {_K}, {_R}, system_label, strftime(start_time, {_ISO}) AS time, {_r('overshoot', 'value')}, {_r('std', 'std')}, {_r('min_val', 'min')}, {_r('max_val', 'max')}, n_samples AS samples FROM ind WHERE isfinite(overshoot)",
-    "control_limits": f"{_OWN} SELECT {_K}, n, n < 8 AS insufficient, {_limits()} FROM (SELECT DISTINCT {_K}, n, cl, sg FROM lim)",
+    "control_limits": f"{_OWN} SELECT {_K}, n, n < 8 AS insufficient, {_limits(digits=3)} FROM (SELECT DISTINCT {_K}, n, cl, sg FROM lim)",
     "spc_violations": f"{_OWN}{_RULES} SELECT {_K}, {_R}, strftime(time, {_ISO}) AS time, idx, {_r('x', 'value')}, {_r('cl', 'center_line')}, {_r('sg', 'sigma')}, rule, CASE WHEN rule = 'beyond_3sigma' THEN 'alarm' ELSE 'warn' END AS severity FROM (SELECT *, 'beyond_3sigma' AS rule FROM flags WHERE r1 UNION ALL SELECT *, 'two_of_three_2sigma' FROM flags WHERE r2 UNION ALL SELECT *, 'four_of_five_1sigma' FROM flags WHERE r3 UNION ALL SELECT *, 'eight_in_row_side' FROM flags WHERE r4)",
     "chart_status": f"{_OWN}{_RULES}{_STATUS} SELECT {_K}, points, {_STATUS_COLS} FROM status",
     "baseline_limits": f"{_FROZEN} SELECT {_K}, base_start, base_end, points, base_end - base_start + 1 AS n, base_end - base_start + 1 < 8 AS insufficient, {_limits()} FROM base",
@@ -321,10 +327,10 @@ ORACLES: dict[str, str] = {
  SELECT {_K}, {_R}, idx, {_r('u', 'statistic')}, {_r('d', 'statistic_low')}, 5.0::DOUBLE AS ucl, 0.0::DOUBLE AS lcl, sg > 0 AND (u > 5 OR d > 5) AS alarm FROM cu""",
     "residual_chart": f"""{_LORD}{_RHO}, ar AS (SELECT *, CASE WHEN idx = 0 OR n < 3 THEN 0 ELSE x - mu * (1 - rho) - rho * lag(x) OVER {_W} END AS e FROM rho),
  m2 AS (SELECT *, CASE WHEN idx > 1 THEN abs(e - lag(e) OVER {_W}) END AS emr FROM ar), s3 AS (SELECT *, coalesce(avg(emr) OVER {_ALL}, 0) / 1.128 AS es FROM m2)
- SELECT {_K}, {_R}, idx, {_r('rho', 'phi')}, {_r('e', 'statistic')}, {_r('3 * es', 'ucl')}, {_r('-3 * es', 'lcl')}, es > 0 AND idx > 0 AND abs(e) > 3 * es AS alarm FROM s3""",
-    "diagnosis": f"{_LORD}{_DIAG} SELECT {_K}, n, {_DIAG_COLS}, {_REASON_COLS} FROM grade",
-    "adaptive_spc": f"{_FROZEN}{_DIAG}{_RULES}{_STATUS} SELECT {_K}, base_start, base_end, base.points, base_end - base_start + 1 < 8 AS insufficient, {_limits()}, grade.n, {_DIAG_COLS}, {_STATUS_COLS} FROM base JOIN grade USING ({_K}) JOIN status USING ({_K})",
-    "linear_fit": f"{_LORD} SELECT {_K}, count(*) AS n, {_r('regr_slope(x, idx)', 'slope')}, {_r('regr_intercept(x, idx)', 'intercept')}, {_r('sqrt((regr_syy(x, idx) - regr_slope(x, idx) * regr_sxy(x, idx)) / count(*))', 'residual_rms')} FROM o GROUP BY {_K}",
+ SELECT {_K}, {_R}, idx, {_r('rho', 'phi', 3)}, {_r('e', 'statistic', 3)}, {_r('3 * es', 'ucl', 3)}, {_r('-3 * es', 'lcl', 3)}, es > 0 AND idx > 0 AND abs(e) > 3 * es AS alarm FROM s3""",
+    "diagnosis": f"{_LORD}{_DIAG} SELECT {_K}, n, {_diag_cols(3)}, {_REASON_COLS} FROM grade",
+    "adaptive_spc": f"{_FROZEN}{_DIAG}{_RULES}{_STATUS} SELECT {_K}, base_start, base_end, base.points, base_end - base_start + 1 < 8 AS insufficient, {_limits()}, grade.n, {_diag_cols()}, {_STATUS_COLS} FROM base JOIN grade USING ({_K}) JOIN status USING ({_K})",
+    "linear_fit": f"{_LORD} SELECT {_K}, count(*) AS n, {_r('regr_slope(x, idx)', 'slope', 3)}, {_r('regr_intercept(x, idx)', 'intercept', 3)}, {_r('sqrt((regr_syy(x, idx) - regr_slope(x, idx) * regr_sxy(x, idx)) / count(*))', 'residual_rms', 3)} FROM o GROUP BY {_K}",
     "capability": f"""{_ORD}{_pts('samples', 'kp', "WHERE signal = 'k'")}, spec AS (SELECT {_C}, avg(value) AS target FROM kp GROUP BY {_C}),
  c AS (SELECT {_K}, avg(x) AS m, coalesce(avg(mr), 0) / 1.128 AS sw, coalesce(stddev_samp(x), 0) AS st FROM o GROUP BY {_K}),
  u AS (SELECT *, target + 0.05 * abs(target) AS usl, target - 0.05 * abs(target) AS lsl FROM c LEFT JOIN spec USING ({_C})),

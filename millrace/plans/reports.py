@@ -100,12 +100,12 @@ def _monitored(spark, sf, components=3):
 
 
 def fdc_monitor(spark, sf):
-    return rounded(registry._iso(_monitored(spark, sf).drop("causes", "residual_causes"), "time"), 5)
+    return rounded(registry._iso(_monitored(spark, sf).drop("causes", "residual_causes"), "time"), 4)
 
 
 def _causes(df: DataFrame, column: str) -> DataFrame:
     nth = df.select(*CTX, *RUN_ORDER, F.posexplode(column).alias("nth", "c")).select(*CTX, *RUN_ORDER, "nth", "c.signal", "c.value", "c.percent")
-    return rounded(registry._iso(nth, "time"), 4)
+    return rounded(registry._iso(nth, "time"), 3)
 
 
 def fdc_full_rank(spark, sf):
@@ -298,11 +298,11 @@ ORACLES: dict[str, str] = {
  CASE WHEN n < 8 THEN n || ' points are too few for firm limits.' ELSE n || ' points are enough for limits.' END AS stability_text FROM lim""",
     "setpoint_values": f"WITH {_T} SELECT {_C}, lot, wafer_no, strftime(min(processed_time), {_ISO}) AS time, {_r('avg(k)', 'value')} FROM trace WHERE k IS NOT NULL GROUP BY {_C}, lot, wafer_no",
     "listed_signals": f"WITH {registry._LLONG} SELECT signal, count(v) AS non_null, {_r('min(v)', 'min_val')}, {_r('max(v)', 'max_val')}, count(DISTINCT v) AS distinct_vals, count(DISTINCT v) <= 2 AND min(v) >= 0 AND max(v) <= 1 AS is_flag FROM lsamples GROUP BY signal",
-    "fdc_monitor": f"{_FDC} SELECT {_KEYT}, {', '.join(_r(c, c, 5) for c in ('t2', 'spe', 't2_limit', 'spe_limit'))}, t2_alarm, spe_alarm, 3 AS components FROM al",
+    "fdc_monitor": f"{_FDC} SELECT {_KEYT}, {', '.join(_r(c, c, 4) for c in ('t2', 'spe', 't2_limit', 'spe_limit'))}, t2_alarm, spe_alarm, 3 AS components FROM al",
     "fdc_alarms": f"""{_CAUSES}, nth AS (SELECT *, value / sum(value) OVER w * 100 AS percent, row_number() OVER (w ORDER BY value DESC) - 1 AS nth FROM parts WHERE t2_alarm OR spe_alarm WINDOW w AS (PARTITION BY {_C}, time, lot, wafer_no))
- SELECT {_KEYT}, CAST(nth AS INTEGER) AS nth, signal, {_r('value', 'value', 4)}, {_r('percent', 'percent', 4)} FROM nth WHERE nth < 3""",
+ SELECT {_KEYT}, CAST(nth AS INTEGER) AS nth, signal, {_r('value', 'value', 3)}, {_r('percent', 'percent', 3)} FROM nth WHERE nth < 3""",
     "fdc_residual_ranks": f"""{_CAUSES}, nth AS (SELECT *, e / sum(e) OVER w * 100 AS percent, row_number() OVER (w ORDER BY e DESC) - 1 AS nth FROM parts WHERE spe_alarm WINDOW w AS (PARTITION BY {_C}, time, lot, wafer_no))
- SELECT {_KEYT}, CAST(nth AS INTEGER) AS nth, signal, {_r('e', 'value', 4)}, {_r('percent', 'percent', 4)} FROM nth""",
+ SELECT {_KEYT}, CAST(nth AS INTEGER) AS nth, signal, {_r('e', 'value', 3)}, {_r('percent', 'percent', 3)} FROM nth""",
     "fdc_full_rank": f"{_FULL} SELECT {_KEYT}, {_r('whole', 't2', 5)}, whole > 4 * (nb * nb - 1.0::DOUBLE) / (nb * (nb - 4.0::DOUBLE)) * ({_wh('4')} / ({_wh('(nb - 4)')})) AS t2_alarm, 0.0::DOUBLE AS spe, false AS spe_alarm, true AS without_spe, 4 AS components FROM b1",
     "dtw_distances": _DTW,
     "deviation_points": f"""WITH {registry._RES}, env AS (SELECT label, pos, avg(v) - 2 * coalesce(stddev_samp(v), 0) AS lo, avg(v) + 2 * coalesce(stddev_samp(v), 0) AS hi FROM res GROUP BY label, pos)

@@ -23,7 +23,7 @@ def duck(sf):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 4) + 0.0
+        return "nan" if math.isnan(v) else v + 0.0
     return v
 
 
