@@ -91,7 +91,10 @@ def multivariate(df: DataFrame, recipe: str, stage: str, step: int, signals: str
     check.step(step)
     check.share(confidence=confidence)
     signals = [assert_known(s, set(df.columns)) for s in check.names(signals or []) or FDC_SIGNALS]
-    return fdc.monitor(agg.run_matrix(agg.slice_context(df, recipe, stage, step), signals), signals, agg.CONTEXT, ["time", "lot", "wafer_no"], confidence=confidence)
+    found = fdc.monitor(agg.run_matrix(agg.slice_context(df, recipe, stage, step), signals), signals, agg.CONTEXT, ["time", "lot", "wafer_no"], confidence=confidence)
+    if found.isEmpty():
+        raise ValueError(f"fewer than {fdc.LEAST_BASELINE + 1} complete runs, or a baseline that doesn't vary")
+    return found
 
 
 def commonality(indicators: DataFrame, signal: str, indicator: str = agg.DEFAULT_INDICATOR, recipe: str | None = None, k: float = 3.5) -> tuple[DataFrame, DataFrame]:

@@ -268,7 +268,7 @@ def test_api(spark, sf):
     wrong = [
         lambda: api.control_chart(t, "click", "S0", 1, "nope"), lambda: api.control_chart(t, "", "S0", 1, "value"), lambda: api.control_chart(t, "click", "S0", -1, "value"), lambda: api.control_chart(t, "click", "S0", 1.5, "value"),
         lambda: api.trace(t, "20240101", "0", 1, ["value"] * 7), lambda: api.trace(t, "20240101", "0", 1, " , "), lambda: api.multivariate(t, "click", "S0", 1, ["value"], 1.0), lambda: api.equipment_report(t, None, 0),
-        lambda: api.commonality(t, "value", k=11), lambda: api.selector(t, ["value"]), lambda: api.selector(t, ["recipe"], {"recipe": "click"}),
+        lambda: api.commonality(t, "value", k=11), lambda: api.selector(t, ["value"]), lambda: api.selector(t, ["recipe"], {"recipe": "click"}), lambda: api.multivariate(t, "no such recipe", "S0", 1, ["value"]),
     ]
     for call in wrong:
         with pytest.raises(ValueError):
