@@ -172,17 +172,20 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.93, recall: float = 0.
     asking = coded.withColumn("cell", F.explode("visits"))
     spot = ["label_key", "cell"]
     held = coded.groupBy("label_key", F.col("own").alias("cell")).agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias("held_blocks"))
-    blocks = held.join(asking.groupBy(*spot).agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias("ask_blocks")), spot)
-    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asking.groupBy(*spot).agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias("ask_blocks"))
+    # cells with too many vectors for one task are cut into blocks. These cells are a table of their own, of known size, so
+    # that vectors are shuffled once where it is small enough to broadcast, and joined with it where it isn't
+    large_cells = save(held.join(asked, spot).where((F.col("held_blocks") > 1) | (F.col("ask_blocks") > 1)), "cells")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
     cols = ["label_key", "cell", "node", "weight", "vec", "own", "visits"]
-    a = asking.join(blocks, spot).select(*cols, part("ask_blocks").alias("i"), every("held_blocks").alias("j"), F.lit(True).alias("asks"))
-    b = coded.withColumn("cell", F.col("own")).join(blocks, spot).select(*cols, every("ask_blocks").alias("i"), part("held_blocks").alias("j"), F.lit(False).alias("asks"))
+    a = asking.join(large_cells, spot, "left").select(*cols, part("ask_blocks").alias("i"), every("held_blocks").alias("j"), F.lit(True).alias("asks"))
+    b = coded.withColumn("cell", F.col("own")).join(large_cells, spot, "left").select(*cols, every("ask_blocks").alias("i"), part("held_blocks").alias("j"), F.lit(False).alias("asks"))
     met = save(over_groups(a.unionByName(b), ["label_key", "cell", "i", "j"], _meet(cosine), "a long, b long, links long"), "met")
     settled = components(met.select("a", "b")).withColumnRenamed("node", "a")
     of_node = nodes.select(F.col("node").alias("a"), "weight").join(met.groupBy("a").agg(F.sum("links").alias("links")), "a", "left").join(settled, "a", "left")
     of_node = save(of_node.select(F.col("a").alias("node"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "a").alias("root")), "of_node")
-    discard(nodes, coded, met)
+    discard(nodes, coded, large_cells, met)
 
     full = save(rows.select("vec_id", "node").join(of_node, "node", "left"), "full")
     discard(of_node)
