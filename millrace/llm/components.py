@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import discard, save
+from millrace.llm.scratch import discard, release, save
 
 
 def _mark(df: DataFrame) -> tuple[int, int]:
@@ -36,6 +36,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = joined.select(b.alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
         last, now = now, save(small.where(a != b).distinct(), "links")
         discard(last)
+        release(links.sparkSession)  # else each round's shuffles lie on disk until the last
         before, seen = seen, _mark(now)
         if before == seen:
             break

@@ -3,11 +3,13 @@
 Two texts link when the Jaccard similarity of their shingle sets reaches a threshold. Three passes over the texts:
 
 1. Each text's set is hashed (equal sets share a key) and its prefix, the shingles of which any partner must share
-   one, is counted. Frequent shingles are marked in a bitmap of fixed size.
+   one, is counted with some shingles more, and the whole of one set in ``SAMPLED``: lines that many texts have lie beyond
+   the first prefixes too. Frequent shingles are marked in a bitmap of fixed size. Marks only decide on an order.
 2. Prefixes are taken again with marked shingles last. For each pair in a short list its common prefix shingles are
    counted; fewer than the bound below rule it out. The sets of a long list (mostly near copies of one another, as
    marked shingles come last) are chained in order of size. The components of what is left enclose all true links.
-3. The sets of each enclosure meet in one task (a large enclosure is cut into blocks, each pair of blocks a task).
+3. The sets of each enclosure meet in one task. A large enclosure is cut into bands of sizes, so wide that partners lie
+   in one band or in two adjacent ones, and bands into blocks; each pair of blocks that may hold partners is a task.
    There an inverted index is searched for every set by DivideSkip: short lists are merged, long ones are probed by
    binary search, and sets that reach the needed overlap are joined.
 
@@ -18,6 +20,7 @@ no rows. No list, group or candidate is dropped for its size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +31,14 @@ from pyspark.sql import functions as F
 from millrace.llm.bitmaps import BITMAP_BITS, bitmap_of, marked, positions
 from millrace.llm.components import components
 from millrace.llm.grouped import over_groups
-from millrace.llm.scratch import discard, map_batches, resting_on, save, unused
+from millrace.llm.scratch import discard, map_batches, release, resting_on, save, unused
 from millrace.llm.wordhash import shingle_sets, text_slices
 
 #: A shingle in more prefixes than this is marked as frequent; marked ones are ordered last.
 FREQUENT = 16
+#: One set in so many is counted as a whole; a shingle in more than ``SAMPLE_FREQUENT`` of these is marked as well.
+SAMPLED = 32
+SAMPLE_FREQUENT = 2
 #: Shingles of the sets that meet in one task.
 BLOCK_ELEMENTS = 1_000_000
 #: Lists of up to so many sets are counted pair by pair; the sets of longer ones are chained.
@@ -65,21 +71,30 @@ def _id_hash(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _low_bits(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([*sets, np.empty(0, np.uint64)]).astype(np.uint32).view(np.int32))
+
+
 def _profile(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, texts in text_slices(batch.column(1)):
                 sets = shingle_sets(texts, k)
-                heads = [s[: prefix_length(len(s), num, den)].astype(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
+                keys = [set_key(s) if len(s) else None for s in sets]
+                # 32 bits will do: a shingle that shares them with another is at most marked for nothing
+                heads = [s[: (p := prefix_length(len(s), num, den)) + p // 4 + 2] if len(s) else s for s in sets]
+                whole = [s if key is not None and key % SAMPLED == 0 else s[:0] for s, key in zip(sets, keys)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32), np.concatenate(heads or [np.empty(0, np.int64)])),
+                        pa.array(keys, pa.int64()),
+                        _low_bits(heads),
+                        _low_bits(whole),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "head"],
+                    ["doc_id", "n_shingles", "set_key", "head", "whole"],
                 )
 
     return run
@@ -97,8 +112,8 @@ def _postings(k: int, num: int, den: int, bits):
                     p = prefix_length(len(s), num, den)
                     late = marked(bitmap, s)
                     order = np.concatenate((np.flatnonzero(late == 0)[:p], np.flatnonzero(late)[:p]))[:p]
-                    rank = int(s[order[-1]] >> np.uint64(2)) | int(late[order[-1]]) << 62  # of the last in the common order
-                    for c, v in zip(cols, (s[order].view(np.int64), np.full(p, set_key(s), np.int64), np.full(p, len(s), np.int32), np.full(p, rank, np.int64))):
+                    rank = int(s[order[-1]] >> np.uint64(34)) | int(late[order[-1]]) << 30  # of the last in the common order, its first bits
+                    for c, v in zip(cols, (s[order].view(np.int64), np.full(p, set_key(s), np.int64), np.full(p, len(s), np.int32), np.full(p, rank, np.int32))):
                         c.append(v)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "set_key", "n", "last"])
@@ -132,8 +147,9 @@ def _candidates(num: int, den: int):
                 x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
                 near = n[x] * den >= n[y] * num
                 x, y = x[near], y[near]
-                first = n[np.where(last[x] <= last[y], x, y)]
-                rest = first - (first - -((-num * first) // den) + 1)
+                beyond = -((-num * n) // den) - 1  # shingles outside the prefix
+                # where the ends' first bits are equal, either may be first: the larger rest gives the smaller need
+                rest = np.where(last[x] < last[y], beyond[x], np.where(last[x] > last[y], beyond[y], np.maximum(beyond[x], beyond[y])))
                 out.append((key[x], key[y], np.maximum(1, need(n[x], n[y], num, den) - rest)))
         if out:
             a, b, c = (np.concatenate(v) for v in zip(*out))
@@ -254,6 +270,32 @@ def _ship(k: int, bits):
     return run
 
 
+#: What names a task of the search: blocks i and j of one band, or i of a band and j of the next one (``up``).
+TASK = ["root", "band", "up", "i", "j"]
+
+
+def _tasks(held: DataFrame, num: int, den: int) -> DataFrame:
+    """held: (set_key, rep, n, root). Returns (set_key, doc_id, *TASK), one row for each task that a set goes to.
+
+    Sets of one root that may be partners meet in some task: sizes of partners are within a factor of den/num, so their
+    bands are the same or adjacent. An enclosure of at most BLOCK_ELEMENTS is one task.
+    """
+    width = math.log(den / num) * (1 + 1e-9) if num < den else 1e-9  # wider than the factor by more than logarithms are off
+    total = held.groupBy("root").agg(F.sum("n").alias("total"))
+    band = F.when(F.col("total") <= BLOCK_ELEMENTS, 0).otherwise(F.floor(F.log("n") / width)).cast("long")
+    sized = held.join(total, "root").select("set_key", F.col("rep").alias("doc_id"), "n", "root", band.alias("band"))
+    cells = sized.groupBy("root", "band").agg(F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    parts = sized.join(cells, ["root", "band"]).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")  # a set goes to the task of each pair of blocks that holds its own
+    known = ["set_key", "doc_id", "root", "band"]
+    own = parts.select(*known, "block", every).select(*known, F.lit(0).alias("up"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    after = cells.select("root", (F.col("band") - 1).alias("band"), "blocks")
+    before = cells.select("root", (F.col("band") + 1).alias("band"), "blocks")
+    up = parts.drop("blocks").join(after, ["root", "band"]).select(*known, "block", every).select(*known, F.lit(1).alias("up"), F.col("block").alias("i"), F.col("other").alias("j"))
+    down = parts.drop("blocks").join(before, ["root", "band"]).select(*known, "block", every).select("set_key", "doc_id", "root", (F.col("band") - 1).alias("band"), F.lit(1).alias("up"), F.col("other").alias("i"), F.col("block").alias("j"))
+    return own.unionByName(up).unionByName(down)
+
+
 def _classes(texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """texts: (doc_id long, text string). Returns two tables that outlive the call.
 
@@ -261,31 +303,32 @@ def _classes(texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     the least id in the set's component.
     """
     spark = texts.sparkSession
-    profile = save(map_batches(texts, _profile(words, num, den), "doc_id long, n_shingles long, set_key long, head array<long>"), "profile")
-
-    counted = profile.select(F.explode("head").alias("h")).groupBy("h").count().where(F.col("count") > FREQUENT)
-    frequent = spark.sparkContext.broadcast(bitmap_of(counted.select((F.col("h").bitwiseAND(BITMAP_BITS - 1)).cast("int").alias("position"))))
-    postings = map_batches(texts, _postings(words, num, den, frequent), "h long, set_key long, n int, last long")
+    profile = save(map_batches(texts, _profile(words, num, den), "doc_id long, n_shingles long, set_key long, head array<int>, whole array<int>"), "profile")
+
+    often = [
+        profile.select(F.explode(c).alias("h")).groupBy("h").count().where(F.col("count") > least).select((F.col("h").bitwiseAND(BITMAP_BITS - 1)).alias("position"))
+        for c, least in (("head", FREQUENT), ("whole", SAMPLE_FREQUENT))
+    ]
+    frequent = spark.sparkContext.broadcast(bitmap_of(often[0].unionByName(often[1])))
+    release(spark)
+    postings = map_batches(texts, _postings(words, num, den, frequent), "h long, set_key long, n int, last int")
     listed = postings.repartition("h").sortWithinPartitions("h", "n", "set_key")
     # lists are cut into chunks of a fixed number of rows, not into small batches
     pairs = listed.mapInArrow(_candidates(num, den), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"))
     enclosed = components(pairs.where(F.col("common") >= F.col("need")))
+    release(spark)
 
     some = profile.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     of_key = save(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "sets")
     held = save(of_key.select("set_key", "rep", "n").join(enclosed.withColumnRenamed("node", "set_key"), "set_key"), "enclosed")
-    cut = held.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    parts = held.join(cut, "root").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    # a set of block x goes to the task of each pair of blocks that holds x
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    parts = parts.select("set_key", F.col("rep").alias("doc_id"), "root", "block", other.alias("other"))
-    parts = parts.select("set_key", "doc_id", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    parts = _tasks(held, num, den)
 
     wanted = spark.sparkContext.broadcast(bitmap_of(map_batches(held.select(F.col("rep").alias("doc_id")).distinct(), _id_positions, "position int")))
     shipped = map_batches(texts, _ship(words, wanted), "doc_id long, set_key long, shingles binary")
-    met = shipped.join(parts, ["doc_id", "set_key"]).select("root", "i", "j", "set_key", "shingles")
-    links = over_groups(met, ["root", "i", "j"], _search(num, den), "a long, b long")
+    met = shipped.join(parts, ["doc_id", "set_key"]).select(*TASK, "set_key", "shingles")
+    links = over_groups(met, TASK, _search(num, den), "a long, b long")
     settled = components(links)
+    release(spark)
 
     # the least id of each distinct set is found first; saved, so that the last join has the sets' rows on one side only
     # and a set of very many copies can be split there

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -99,6 +100,12 @@ def discard(*done: DataFrame) -> None:
         discard(*getattr(df, "_millrace_reads", ()))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that have run: it does so only once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

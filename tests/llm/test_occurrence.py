@@ -82,6 +82,25 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert run(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
 
 
+def test_tasks_of_a_large_enclosure(spark, monkeypatch):
+    """Sets that may be partners meet, and a chain through many sizes doesn't send every set to every block."""
+    import millrace.llm.occurrence as occ
+
+    r = random.Random(4)
+    sizes = [int(10 ** r.uniform(1, 4)) for _ in range(300)] + [100, 117, 118, 85, 7225, 8500, 10000]
+    rows = [(i, i, n, 1) for i, n in enumerate(sizes)] + [(1000 + i, 1000 + i, 50, 2) for i in range(4)]
+    monkeypatch.setattr(occ, "BLOCK_ELEMENTS", sum(sizes) // 60)
+    sent = occ._tasks(spark.createDataFrame(rows, "set_key long, rep long, n long, root long"), 85, 100).collect()
+    tasks = {}
+    for t in sent:
+        tasks.setdefault(t[2:], set()).add(t["set_key"])
+    met = {(a, b) for keys in tasks.values() for a in keys for b in keys}
+    for i, n in enumerate(sizes):
+        assert all((i, j) in met for j, m in enumerate(sizes) if 85 * max(n, m) <= 100 * min(n, m))
+    assert [k for t, k in tasks.items() if t[0] == 2] == [{1000, 1001, 1002, 1003}]
+    assert sum(rows[t["set_key"]][2] for t in sent if t["root"] == 1) < 20 * sum(sizes)  # with all pairs of blocks: 60 times
+
+
 def candidates(lists, paired, list_rows, batch_rows):
     import millrace.llm.occurrence as occ
 
