@@ -24,6 +24,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -367,6 +368,18 @@ def keep_one(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10, te
     numbered = save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     texts = numbered.select(F.col(row).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile, led = _classes(texts, words, num, den)
-    first = led.select(F.col("least").alias(row)).distinct()
-    blank = profile.where(F.col("set_key").isNull()).select(F.col("doc_id").alias(row))
-    return resting_on(numbered.join(first.unionByName(blank), row, "left_semi").select(*docs.columns), numbered, profile, led)
+    # few rows go; a bitmap tells those that may, and only their texts are shuffled to be compared with the rows that do go
+    gone = save(profile.where(F.col("set_key").isNotNull()).join(led, "set_key").where(F.col("doc_id") != F.col("least")).select("doc_id"), "gone")
+    discard(profile, led)
+    release(docs.sparkSession)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(map_batches(gone, _id_positions, "position int")))
+
+    @F.pandas_udf("boolean")
+    def may_go(rows: pd.Series) -> pd.Series:
+        return pd.Series(marked(np.frombuffer(bits.value, np.uint8), _id_hash(rows.to_numpy())).astype(bool))
+
+    flag = unused("may_go", numbered.columns)
+    flagged = numbered.withColumn(flag, may_go(row))
+    stay = flagged.where(~F.col(flag)).select(*numbered.columns)
+    seen = flagged.where(F.col(flag)).select(*numbered.columns).join(gone.withColumnRenamed("doc_id", row), row, "left_anti")
+    return resting_on(stay.unionByName(seen).select(*docs.columns), numbered, gone)

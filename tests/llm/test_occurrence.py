@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pyarrow as pa
 from hypothesis import given, settings
@@ -101,6 +102,31 @@ def test_tasks_of_a_large_enclosure(spark, monkeypatch):
     assert sum(rows[t["set_key"]][2] for t in sent if t["root"] == 1) < 20 * sum(sizes)  # with all pairs of blocks: 60 times
 
 
+def test_texts_that_stay_are_not_shuffled(spark):
+    r = random.Random(8)
+    texts = [" ".join(str(r.random()) for _ in range(400)) for _ in range(300)]
+    texts += texts[:6]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def written():
+        time.sleep(1)
+        return sum(e.totalShuffleWrite() for e in seq(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+
+    def seq(x):
+        return [x.apply(i) for i in range(x.size())]
+
+    try:
+        kept = keep_one(df)
+        at = written()
+        assert sorted(r["text"] for r in kept.collect()) == sorted(texts[:300])
+        assert written() - at < 0.2 * sum(map(len, texts)) * 0.5  # of digits, a little under half is left when compressed
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def candidates(lists, paired, list_rows, batch_rows):
     import millrace.llm.occurrence as occ
 
